@@ -11,7 +11,9 @@ other).  So every pair within 4 bits meets in at least one bucket; the join then
 
 Nothing lists all pairs of a group: fingerprints that share a segment are first linked to the
 least one of their bucket if that lies within 4 bits (linear), components of these links are
-labels, and only fingerprints of different labels are compared, in buckets that hold several.
+labels, and only fingerprints of different labels are compared.  A label of very many
+fingerprints never meets itself: large labels join small ones, and one another only in buckets
+that hold two of them.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .common import drop, save, small_batches
 from .graph import components
 
 SEGMENTS = (22, 21, 21)
+#: Labels of more fingerprints than this are compared with each other only where a bucket holds two of them.
+BIG = 1000
 #: Fixed value: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 generates the binary Golay code.
 GENERATOR = 0b110001110101
 
@@ -126,21 +130,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _keys(fps: DataFrame, exact: bool) -> DataFrame:
-    """(key, side, fp, label); an exact key stands on both sides."""
+    """(key, side, fp, label, big); an exact key stands on both sides."""
 
     def run(batches):
         errors = error_table()
         for b in batches:
             fp = b.column(0).to_numpy(zero_copy_only=False)
             label = b.column(1).to_numpy(zero_copy_only=False)
+            big = b.column(2).to_numpy(zero_copy_only=False)
             row, key = exact_keys(fp.view(np.uint64))
             side = np.full(len(row), 2, np.int8)
             if not exact:
                 more = pair_keys(fp.view(np.uint64), errors)
                 row, key, side = (np.concatenate(x) for x in zip((row, key, side), more, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(side), pa.array(fp[row]), pa.array(label[row])], ["key", "side", "fp", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(side), pa.array(fp[row]), pa.array(label[row]), pa.array(big[row])], ["key", "side", "fp", "label", "big"])
 
-    return fps.select("fp", "label").mapInArrow(run, "key long, side byte, fp long, label long")
+    return fps.select("fp", "label", "big").mapInArrow(run, "key long, side byte, fp long, label long, big boolean")
 
 
 def _close(a: str, b: str, most: int) -> F.Column:
@@ -151,25 +156,26 @@ def link(fps: DataFrame, most: int = 4) -> DataFrame:
     """fps(fp) distinct -> (node, component) of the fingerprints that have any within `most` (4 at most) bits."""
     if most > 4:
         raise ValueError("three segments cover 4 differing bits")
-    near = _keys(fps.select("fp", F.col("fp").alias("label")), True)
+    near = _keys(fps.select("fp", F.col("fp").alias("label"), F.lit(False).alias("big")), True)
     hub = near.groupBy("key").agg(F.min("fp").alias("hub"), F.max("fp").alias("last")).filter("hub < last").select("key", "hub")
     stars = near.join(hub, "key").filter((F.col("fp") != F.col("hub")) & _close("fp", "hub", most))
     first = components(stars.select(F.col("fp").alias("u"), F.col("hub").alias("v")))
     labelled = fps.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("label"))
+    big = labelled.groupBy("label").count().filter(F.col("count") > BIG).select("label", F.lit(True).alias("big"))
+    labelled = save(labelled.join(big, "label", "left").select("fp", "label", F.coalesce("big", F.lit(False)).alias("big")), "labelled")
 
-    keys = save(_keys(labelled, False), "keys")
-    sizes = keys.groupBy("key", "label").count()
-    mixed = sizes.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("count", "label")).alias("top")).filter("n > 1").select("key", F.col("top.label").alias("main"))
-    rows = save(keys.join(mixed, "key").select("key", "side", "fp", "label", (F.col("label") == F.col("main")).alias("is_main")), "mixed")
-    drop(keys)
-    a = rows.filter("side <> 1").select("key", F.col("fp").alias("x"), F.col("label").alias("lx"), F.col("is_main").alias("mx"))
-    b = rows.filter("side <> 0").select("key", F.col("fp").alias("y"), F.col("label").alias("ly"), F.col("is_main").alias("my"))
+    rows = save(_keys(labelled, False), "keys")
+    a = rows.filter("side <> 1").select("key", F.col("fp").alias("x"), F.col("label").alias("lx"), F.col("big").alias("bx"))
+    b = rows.filter("side <> 0").select("key", F.col("fp").alias("y"), F.col("label").alias("ly"), F.col("big").alias("by"))
     apart = (F.col("lx") != F.col("ly")) & _close("x", "y", most)
-    cond = lambda p, q: (p["key"] == q["key"]) & apart
-    left, right = a, b.filter("not my")
-    pairs = left.join(right, cond(left, right)).select("lx", "ly")
-    left, right = a.filter("not mx"), b.filter("my")
-    pairs = pairs.union(left.join(right, cond(left, right)).select("lx", "ly"))
+    meet = lambda p, q: p.join(q, (p["key"] == q["key"]) & apart).select("lx", "ly")
+    pairs = meet(a, b.filter("not by")).union(meet(a.filter("not bx"), b.filter("by")))
+    # two large labels: only in buckets that hold both
+    several = rows.filter("big").groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).filter("p < q").select("key")
+    shared = rows.filter("big").join(several, "key")
+    a = shared.filter("side <> 1").select("key", F.col("fp").alias("x"), F.col("label").alias("lx"))
+    b = shared.filter("side <> 0").select("key", F.col("fp").alias("y"), F.col("label").alias("ly"))
+    pairs = pairs.union(meet(a, b))
     second = components(pairs.select(F.col("lx").alias("u"), F.col("ly").alias("v")))
     drop(rows)
     return labelled.join(second.withColumnRenamed("node", "label"), "label", "left").select(F.col("fp").alias("node"), F.coalesce("component", "label").alias("component"))
