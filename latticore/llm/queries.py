@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import mixing, shard, simhash
 from .common import table
 
 
@@ -14,6 +14,25 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_simhash_near_dedup": op1_simhash_near_dedup}
+def op2_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size")
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
+    got = shard.interleave(docs, 8, carry=[size, crc])
+    return got.select(F.col("_id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
-ORACLES: dict[str, str] = {}
+
+def op7_hash_threshold_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = mixing.mix(table(spark, sf_dir, "documents"))
+    return got.select(F.col("_id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+QUERIES = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_stratified_shards": op2_stratified_shards,
+    "op7_hash_threshold_mixing": op7_hash_threshold_mixing,
+}
+
+ORACLES: dict[str, str] = {
+    "op7_hash_threshold_mixing": mixing.SQL.replace("{seed}", "mix"),
+}
