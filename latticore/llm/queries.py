@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, shard, simhash
-from .common import table
+from . import langid, mixing, quality, shard, simhash, toxicity
+from .common import held_out, table
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,9 +27,30 @@ def op7_hash_threshold_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    got = langid.predict(docs, langid.fit(docs))
+    return got.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "lang_pred", "score", "accepted", "entropy")
+
+
+def op6_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    got = toxicity.predict(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return got.withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_stratified_shards": op2_stratified_shards,
+    "op3_language_id": op3_language_id,
+    "op6_quality_ranking": op6_quality_ranking,
+    "op10_toxicity_chain": op10_toxicity_chain,
     "op7_hash_threshold_mixing": op7_hash_threshold_mixing,
 }
 
