@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, quality, shard, simhash, toxicity
+from . import decontam, egojoin, langid, mixing, quality, shard, simhash, tokenstore, toxicity, viterbi
 from .common import held_out, table
 
 
@@ -45,11 +45,32 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumnRenamed("id", "doc_id")
 
 
+def op4_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return got.withColumnRenamed("id", "doc_id")
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return egojoin.near_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenstore.read(tokenstore.write(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+def op9_viterbi_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viterbi.token_counts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_stratified_shards": op2_stratified_shards,
     "op3_language_id": op3_language_id,
+    "op4_pigeonhole_decontamination": op4_pigeonhole_decontamination,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_quality_ranking": op6_quality_ranking,
+    "op8_token_store": op8_token_store,
+    "op9_viterbi_token_counts": op9_viterbi_token_counts,
     "op10_toxicity_chain": op10_toxicity_chain,
     "op7_hash_threshold_mixing": op7_hash_threshold_mixing,
 }

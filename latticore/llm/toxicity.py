@@ -4,7 +4,7 @@ Categories are predicted in turn: the model of each gets the text's features and
 of the categories before it.  For training these come out of fold (each document's earlier
 probabilities from models that did not see it), so later models meet the errors they will meet.
 
-Features are the presence of whole words and of word beginnings of 3 to 6 letters, chosen in each
+Features are the presence of whole words and of word beginnings of 4 and 5 letters, chosen in each
 training set by how much more often they stand in documents of the category; a linear model weighs
 them.  The chain's categories are read from the labels: `lexical` (a word of the learned list is
 strong evidence on its own) stands before `toxic`.
@@ -26,71 +26,78 @@ from .sample import fit_logistic, hash_sample, sigmoid
 
 _WORD = re.compile(r"[^\W\d_]+")
 FOLDS = 4
+STEMS = (4, 5)
+
+
+def words(text: str | None) -> set[str]:
+    return set(_WORD.findall((text or "").lower()))
 
 
 def tokens(text: str | None) -> set[str]:
-    """Whole words and word beginnings (with '-') of a whole text, lower case."""
-    words = set(_WORD.findall((text or "").lower()))
-    return words | {f"{w[:n]}-" for w in words for n in range(3, 7) if len(w) > n}
+    """Whole words, and word beginnings (with '-'), of a whole text in lower case."""
+    found = words(text)
+    return found.union(*({f"{w[:n]}-" for w in found if len(w) > n} for n in STEMS))
 
 
-@dataclass
-class Link:
-    """One model of the chain."""
+def odds(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-4, 1 - 1e-4)
+    return np.log(p / (1 - p)) / 5
 
-    name: str
-    vocab: dict[str, float]
-    weights: np.ndarray  # of: summed evidence, strongest evidence, hits, each earlier category's log odds, intercept
 
-    def inputs(self, sets: list[set[str]], before: np.ndarray) -> np.ndarray:
-        x = np.zeros((len(sets), 3))
-        for i, s in enumerate(sets):
-            hit = [self.vocab[t] for t in s if t in self.vocab]
-            if hit:
-                x[i] = sum(hit) / 10, max(hit), np.log1p(len(hit))
-        return np.hstack([x, before])
+class Bags:
+    """Token sets of training documents as one array of token numbers with row starts."""
+
+    def __init__(self, texts: list[str | None]):
+        self.ids: dict[str, int] = {}
+        rows = []
+        for t in texts:
+            rows.append(np.fromiter((self.ids.setdefault(k, len(self.ids)) for k in sorted(tokens(t))), np.int64))
+        self.n = len(rows)
+        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
+        self.tok = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        self.names = list(self.ids)
+
+    def evidence(self, use: np.ndarray, y: np.ndarray, most: int = 3000, least: int = 3) -> np.ndarray:
+        """Per token its smoothed log odds where it stands in `least` positive rows of `use` and is at
+        least 5 times likelier there, else 0: the `most` strongest, ties by token number."""
+        pos = np.bincount(self.tok[(use & (y == 1))[self.row]], minlength=len(self.ids))
+        neg = np.bincount(self.tok[(use & (y == 0))[self.row]], minlength=len(self.ids))
+        n1, n0 = max((use & (y == 1)).sum(), 1), max((use & (y == 0)).sum(), 1)
+        lo = np.log((pos + 0.1) / n1) - np.log((neg + 0.5) / n0)
+        lo[(pos < least) | (lo <= 1.6)] = 0
+        order = np.argsort(-lo * np.sqrt(pos), kind="stable")[:most]
+        out = np.zeros(len(lo))
+        out[order] = lo[order]
+        return out
+
+    def inputs(self, weight: np.ndarray) -> np.ndarray:
+        hit = weight[self.tok]
+        on = hit > 0
+        total = np.bincount(self.row[on], weights=hit[on], minlength=self.n)
+        top = np.zeros(self.n)
+        np.maximum.at(top, self.row[on], hit[on])
+        return np.stack([total / 10, top, np.log1p(np.bincount(self.row[on], minlength=self.n))], axis=1)
 
-    def proba(self, sets: list[set[str]], before: np.ndarray) -> np.ndarray:
-        x = self.inputs(sets, before)
-        return sigmoid(np.hstack([x, np.ones((len(x), 1))]) @ self.weights)
 
+@dataclass
+class Link:
+    """One model of the chain: evidence of tokens, and weights of summed evidence, strongest
+    evidence, hits, each earlier category's log odds, and the intercept."""
 
-def odds(p: np.ndarray) -> np.ndarray:
-    p = np.clip(p, 1e-4, 1 - 1e-4)
-    return np.log(p / (1 - p)) / 5
+    name: str
+    vocab: dict[str, float]
+    weights: np.ndarray
 
+    def __post_init__(self):
+        self.whole = {t for t in self.vocab if t[-1] != "-"}
+        self.stems = {n: {t[:-1] for t in self.vocab if t[-1] == "-" and len(t) == n + 1} for n in STEMS}
 
-def evidence(sets: list[set[str]], y: np.ndarray, most: int = 3000, least: int = 4) -> dict[str, float]:
-    """Smoothed log odds of tokens that stand in `least` positive documents and are at least 5 times
-    likelier there: a bounded list, strongest first, ties by token."""
-    pos: dict[str, int] = {}
-    neg: dict[str, int] = {}
-    for s, on in zip(sets, y, strict=True):
-        c = pos if on else neg
-        for t in s:
-            c[t] = c.get(t, 0) + 1
-    n1, n0 = max(int(y.sum()), 1), max(int((1 - y).sum()), 1)
-    found = {}
-    for t, k in pos.items():
-        if k >= least and (lo := np.log((k + 0.1) / n1) - np.log((neg.get(t, 0) + 0.5) / n0)) > 1.6:
-            found[t] = (float(lo), float(lo) * np.sqrt(k))
-    best = sorted(found, key=lambda t: (-found[t][1], t))[:most]
-    return {t: found[t][0] for t in best}
-
-
-def fit_link(name: str, sets: list[set[str]], y: np.ndarray, before: np.ndarray, parts: np.ndarray) -> Link:
-    """The evidence list of all rows; the linear weights from evidence lists of the other fold's rows."""
-    xs, ys = [], []
-    for f in range(FOLDS):
-        other, own = parts != f, parts == f
-        if not own.any() or not other.any():
-            continue
-        part = Link(name, evidence([s for s, o in zip(sets, other, strict=True) if o], y[other]), np.zeros(0))
-        xs.append(part.inputs([s for s, o in zip(sets, own, strict=True) if o], before[own]))
-        ys.append(y[own])
-    x, t = (np.vstack(xs), np.concatenate(ys)) if xs else (np.zeros((0, 3 + before.shape[1])), np.zeros(0))
-    w = fit_logistic(x, t, l2=0.5) if len(t) else np.zeros(4 + before.shape[1])
-    return Link(name, evidence(sets, y), w)
+    def inputs(self, found: set[str]) -> tuple[float, float, float]:
+        hits = [self.vocab[w] for w in found & self.whole]
+        for n, stems in self.stems.items():
+            if stems:
+                hits += [self.vocab[f"{p}-"] for p in {w[:n] for w in found if len(w) > n} & stems]
+        return (sum(hits) / 10, max(hits), np.log1p(len(hits))) if hits else (0.0, 0.0, 0.0)
 
 
 @dataclass
@@ -100,37 +107,49 @@ class Chain:
 
     def predict(self, texts: list[str | None]) -> np.ndarray:
         """Probability of every category, one column a link."""
-        sets = [tokens(t) for t in texts]
+        sets = [words(t) for t in texts]
         got = np.zeros((len(sets), 0))
         for link in self.links:
-            got = np.hstack([got, link.proba(sets, odds(got))[:, None]])
+            x = np.array([link.inputs(s) for s in sets]).reshape(-1, 3)
+            p = sigmoid(np.hstack([x, odds(got), np.ones((len(x), 1))]) @ link.weights)
+            got = np.hstack([got, p[:, None]])
         return got
 
 
+def _weights(bags: Bags, use: np.ndarray, y: np.ndarray, before: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Linear weights over the rows of `use`, each row's evidence coming from the other folds."""
+    x = np.zeros((bags.n, 3))
+    for f in range(FOLDS):
+        x[parts == f] = bags.inputs(bags.evidence(use & (parts != f), y))[parts == f]
+    return fit_logistic(np.hstack([x, before])[use], y[use], l2=0.5)
+
+
 def fit_chain(texts: list[str | None], y: np.ndarray, names: list[str], seed: int = 5) -> Chain:
     """y: one 0/1 column a category, in the order of the chain."""
-    sets = [tokens(t) for t in texts]
-    parts = np.random.default_rng(seed).permutation(len(sets)) % FOLDS
-    before = np.zeros((len(sets), 0))
+    bags = Bags(texts)
+    rng = np.random.default_rng(seed)
+    parts, inner = rng.permutation(bags.n) % FOLDS, rng.permutation(bags.n) % FOLDS
+    every = np.ones(bags.n, bool)
+    before = np.zeros((bags.n, 0))
     links = []
     for k, name in enumerate(names):
-        oof = np.zeros(len(sets))
+        oof = np.zeros(bags.n)
         for f in range(FOLDS):
-            own, other = parts == f, parts != f
-            if own.any() and other.any():
-                inner = np.arange(other.sum()) % FOLDS
-                m = fit_link(name, [s for s, o in zip(sets, other, strict=True) if o], y[other, k], before[other], inner)
-                oof[own] = m.proba([s for s, o in zip(sets, own, strict=True) if o], before[own])
-        links.append(fit_link(name, sets, y[:, k], before, parts))
+            own = parts == f
+            w = _weights(bags, ~own, y[:, k], before, inner)
+            x = np.hstack([bags.inputs(bags.evidence(~own, y[:, k])), before, np.ones((bags.n, 1))])
+            oof[own] = sigmoid(x[own] @ w)
+        final = bags.evidence(every, y[:, k])
+        links.append(Link(name, {bags.names[i]: float(final[i]) for i in np.nonzero(final)[0]}, _weights(bags, every, y[:, k], before, parts)))
         before = np.hstack([before, odds(oof)[:, None]])
-    p = 1 / (1 + np.exp(-before[:, -1] * 5)) if len(sets) else np.zeros(0)
-    # the threshold that errs least out of fold, clean documents counting double; ties to the middle
+    p = 1 / (1 + np.exp(-before[:, -1] * 5))
+    # the threshold that errs least out of fold, a clean document flagged counting double; ties to the middle
     grid = np.linspace(0.2, 0.9, 29)
-    bad = np.array([2 * ((p >= g) & (y[:, -1] == 0)).sum() + ((p < g) & (y[:, -1] == 1)).sum() for g in grid]) if len(sets) else np.zeros(29)
+    bad = np.array([2 * ((p >= g) & (y[:, -1] == 0)).sum() + ((p < g) & (y[:, -1] == 1)).sum() for g in grid])
     return Chain(links, float(np.median(grid[bad == bad.min()])))
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: list[str] = ("lexical", "toxic"), most: int = 8000) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, categories: list[str] = ("lexical", "toxic"), most: int = 4000) -> Chain:
     """Learn from at most `most` labelled documents (half toxic where there are enough; least hash of doc_id first).
 
     `lexical` is derived: toxic documents in which a single word or word beginning of the learned
@@ -144,8 +163,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str] = ("lexical",
     wanted = spark.createDataFrame(ids, "doc_id long, toxic int")
     rows = sorted(docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").collect(), key=lambda r: (r.doc_id, r.text or ""))
     texts, toxic = [r.text for r in rows], np.array([float(r.toxic) for r in rows])
-    first = evidence([tokens(t) for t in texts], toxic)
-    strong = np.array([float(any(first.get(k, 0) > 4 for k in tokens(t))) for t in texts])
+    bags = Bags(texts)
+    strong = (bags.inputs(bags.evidence(np.ones(bags.n, bool), toxic))[:, 1] > 4).astype(float)
+    del bags
     return fit_chain(texts, np.stack([toxic * strong, toxic], axis=1), list(categories))
 
 
