@@ -37,31 +37,29 @@ def targets(sizes: DataFrame, share: float = 1.5, most: int = 2) -> DataFrame:
         .withColumn("total", F.sum("source_size").over(every))
         .withColumn("level", (F.col("total") * F.lit(float(share)) - F.col("capped")) / F.col("open_w"))
         .withColumn("fits", F.col("level") * F.col("w") <= F.col("source_size") * most)
-        .withColumn("level", F.min(F.when(F.col("fits"), F.col("level"))).over(every))
+        .withColumn("at", F.row_number().over(order))
+        .withColumn("level", F.min(F.when(F.col("fits"), F.struct("at", "level"))).over(every)["level"])  # the first that fits
     )
     return w.select("s", "source_size", F.coalesce(F.least(F.col("level") * F.col("w"), (F.col("source_size") * most).cast("double")), (F.col("source_size") * most).cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", carry: list | None = None) -> DataFrame:
-    """carry columns plus _id, size, source_size, target, copies and taken for every row of docs.
-
-    size is the number of words (0 for null and blank texts); copies is how often the row is taken
-    and taken = copies * size, so no row exceeds twice its size and a rerun chooses the same rows.
-    Rows of a source with no words have target 0 and are taken once: they cost nothing and nothing
-    speaks against them.  Rows that share an id share a hash and are taken alike."""
-    carry = carry or []
-    names = [docs.select(c).columns[0] for c in carry]
+def _keyed(id_col: str, source_col: str, seed: str) -> list:
+    """Source key s (null last) and hash h of a row: both follow from its own columns."""
     h = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    base = save(
-        docs.select(
-            F.col(id_col).alias("_id"),
-            F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("a"), F.col(source_col).cast("string"))).alias("s"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.conv(F.substring(h, 1, LEVELS * BITS // 4), 16, 10).cast("long").alias("h"),
-            *carry,
-        ),
-        "sizes",
-    )
+    return [
+        F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("a"), F.col(source_col).cast("string"))).alias("s"),
+        F.conv(F.substring(h, 1, LEVELS * BITS // 4), 16, 10).cast("long").alias("h"),
+    ]
+
+
+def _size(text_col: str):
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+
+
+def thresholds(base: DataFrame) -> DataFrame:
+    """base(s, h, size) -> one row a source: s, source_size, target, whole, limit.
+
+    A row is taken `whole` times, and once more if h < limit."""
     sources = targets(base.groupBy("s").agg(F.sum("size").alias("source_size")))
     sources = save(
         sources.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(1))
@@ -83,9 +81,33 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # at the last level the bucket is one hash: in or out, whichever is nearer to the target
     at = base.select("s", "size", F.col("h").alias("prefix")).join(edge, ["s", "prefix"]).groupBy("s", "prefix", "left").agg(F.sum("size").alias("words"))
     limit = at.select("s", (F.col("prefix") + (F.col("left") * 2 >= F.col("words")).cast("long")).alias("limit"))
-    chosen = sources.join(limit, "s", "left").select("s", "source_size", "target", "whole", F.coalesce("limit", F.when(F.col("budget") > 0, F.lit(1 << 62)).otherwise(0)).alias("limit"))
-    out = base.join(chosen, "s").withColumn("copies", (F.col("whole") + (F.col("h") < F.col("limit")).cast("long")))
-    return out.select("_id", *names, "size", "source_size", "target", F.col("copies").cast("long").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    return sources.join(limit, "s", "left").select("s", "source_size", "target", "whole", F.coalesce("limit", F.when(F.col("budget") > 0, F.lit(1 << 62)).otherwise(0)).alias("limit"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
+    """_id, size, source_size, target, copies and taken for every row of docs.
+
+    size is the number of words (0 for null and blank texts); copies is how often the row is taken
+    and taken = copies * size, so no row exceeds twice its size and a rerun chooses the same rows.
+    Rows of a source with no words have target 0 and are taken once: they cost nothing and nothing
+    speaks against them.  Rows that share an id share a hash and are taken alike."""
+    base = save(docs.select(F.col(id_col).alias("_id"), _size(text_col), *_keyed(id_col, source_col, seed)), "sizes")
+    return _apply(base, thresholds(base)).select("_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def _apply(keyed: DataFrame, limits: DataFrame) -> DataFrame:
+    return keyed.join(limits, "s").withColumn("copies", (F.col("whole") + (F.col("h") < F.col("limit")).cast("long")).cast("long"))
+
+
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
+    """The mixture itself: each row of docs as often as mix() takes it, with the columns of docs.
+
+    The thresholds are a row a source, so whole texts are filtered where they are read."""
+    keys = _keyed(id_col, source_col, seed)
+    limits = thresholds(save(docs.select(_size(text_col), *keys), "sizes"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    taken = _apply(docs.select(row, *keys), limits.select("s", "whole", "limit")).filter("copies > 0")
+    return taken.select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select("row.*")
 
 
 #: DuckDB's form: the same targets, and the same documents by running sums in hash order.
@@ -98,10 +120,10 @@ WITH base AS (
 sized AS (SELECT s, CAST(sum(size) AS BIGINT) AS source_size FROM base GROUP BY s),
 weighed AS (SELECT *, CAST([3, 1, 2][(row_number() OVER (ORDER BY s) - 1) % 3 + 1] AS BIGINT) AS w FROM sized),
 open AS (
-  SELECT *, coalesce(sum(source_size) OVER o, 0) * 2 AS capped, sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS open_w, sum(source_size) OVER () AS total
+  SELECT *, row_number() OVER (ORDER BY source_size / w, s) AS rn, coalesce(sum(source_size) OVER o, 0) * 2 AS capped, sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS open_w, sum(source_size) OVER () AS total
   FROM weighed WINDOW o AS (ORDER BY source_size / w, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 levels AS (SELECT *, (CAST(total AS DOUBLE) * 1.5 - CAST(capped AS DOUBLE)) / CAST(open_w AS DOUBLE) AS l FROM open),
-level AS (SELECT *, min(CASE WHEN l * w <= source_size * 2 THEN l END) OVER () AS lv FROM levels),
+level AS (SELECT *, first_value(l) OVER (ORDER BY CASE WHEN l * w <= source_size * 2 THEN 0 ELSE 1 END, rn) AS lv FROM levels),
 goal AS (SELECT s, source_size, CAST(coalesce(least(lv * w, CAST(source_size * 2 AS DOUBLE)), source_size * 2) AS DOUBLE) AS target FROM level),
 plan AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 1 END AS whole,
