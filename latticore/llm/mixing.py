@@ -20,6 +20,8 @@ from .common import WORD, save
 
 WEIGHTS = (3, 1, 2)
 LEVELS, BITS = 4, 12
+#: Sources whose thresholds may be broadcast; more are joined by key.
+SMALL = 20_000
 
 
 def targets(sizes: DataFrame, share: float = 1.5, most: int = 2) -> DataFrame:
@@ -96,6 +98,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def _apply(keyed: DataFrame, limits: DataFrame) -> DataFrame:
+    limits = save(limits, "limits")
+    if limits.count() <= SMALL:  # a row a source: then no row of docs moves, however hot its source
+        limits = F.broadcast(limits)
     return keyed.join(limits, "s").withColumn("copies", (F.col("whole") + (F.col("h") < F.col("limit")).cast("long")).cast("long"))
 
 
