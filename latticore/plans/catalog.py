@@ -408,7 +408,7 @@ def _labelled(spark, sf):
     return m.join(objects.components(m), ["frame", "cls", "gi", "gj"])
 
 
-@query(_rec(P + _placed() + STATS + _MEM + _COMP + " SELECT frame, CAST(cls AS INTEGER) AS cls, comp, count(*) AS n_cells, round(sum(cell * cell), 7) AS area, max(z_max) AS z_top, coalesce(sum(cell * cell) FILTER (moving), 0) > 0.5 * sum(cell * cell) AS moving FROM lm GROUP BY frame, cls, comp HAVING count(*) >= CASE cls WHEN 7 THEN 3 ELSE 2 END"))
+@query(_rec(P + _placed() + STATS + _MEM + _COMP + " SELECT frame, CAST(cls AS INTEGER) AS cls, comp, count(*) AS n_cells, round(sum(cell * cell), 7) AS area, max(z_max) AS z_top, coalesce(sum(cell * cell) FILTER (moving), 0) > 0.5 * sum(cell * cell) + 1e-9 AS moving FROM lm GROUP BY frame, cls, comp HAVING count(*) >= CASE cls WHEN 7 THEN 3 ELSE 2 END"))
 def object_components(spark, sf):
     b = objects.boxes(_labelled(spark, sf))
     return b.select("frame", "cls", (F.col("ki") * 100000 + F.col("kj")).alias("comp"), "n_cells", *_r(7, "area"), "z_top", "moving")
