@@ -2,8 +2,9 @@
 
 A test item of m characters may differ from a passage of a document by k = floor(rate * m) edits.
 Cut into k + 1 pieces, at least one piece then stands unchanged in the passage.  Aho-Corasick finds
-all pieces of all items in a document in one walk; around each hit Myers' bit-parallel algorithm
-computes the least edit distance of the item to any substring, and k or fewer is a match.
+all pieces of all items in a document in one walk.  Around each hit Myers' bit-parallel algorithm
+computes the least edit distance of larger and larger parts of the item (runs of p pieces, which
+may hold p - 1 edits), and of the item itself: k or fewer is a match.
 
 Texts are compared in lower case with white space runs as one space.  Items are taken in blocks of
 bounded size, so that what a task holds does not grow with the benchmark; documents are only read.
@@ -51,6 +52,8 @@ def myers(item: str, text: str, most: int) -> tuple[int, int]:
             score -= 1
         if score < best:
             best, end = score, j + 1
+            if not score:
+                break
         ph = (ph << 1) & full  # no carry in: a match may start anywhere
         mh = (mh << 1) & full
         xv = e | mv
@@ -59,19 +62,36 @@ def myers(item: str, text: str, most: int) -> tuple[int, int]:
     return best, end
 
 
+def ancestors(cuts: list[int], leaf: int) -> list[tuple[int, int, int]]:
+    """(start, end, budget) of the parts of an item that hold a piece, from the smallest up, the whole excepted.
+
+    Halving a run of p pieces with budget p - 1 again and again, one half of each always stays
+    within its own count less one (else both would exceed it, and so would the run).  So a match has
+    a piece that stands unchanged and whose every ancestor stays within its budget."""
+    lo, hi, out = 0, len(cuts) - 1, []
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if leaf < mid else (mid, hi)
+        if hi - lo > 1:
+            out.append((cuts[lo], cuts[hi], hi - lo - 1))
+    return out[::-1]
+
+
 class Matcher:
     def __init__(self, items: list[tuple[int, str | None]], rate: float = RATE):
         import ahocorasick
 
         self.items: list[tuple[int, str, int]] = []
-        at: dict[str, list[tuple[int, int]]] = {}
+        at: dict[str, list[tuple[int, int, list]]] = {}
         for item_id, text in items:
             t = plain(text)
             if len(t) < LEAST:
                 continue
             k = int(rate * len(t))
-            for off, piece in pieces(t, k):
-                at.setdefault(piece, []).append((len(self.items), off))
+            cut = pieces(t, k)
+            cuts = [off for off, _ in cut] + [len(t)]
+            for leaf, (off, piece) in enumerate(cut):
+                at.setdefault(piece, []).append((len(self.items), off, [(a, t[a:b], e) for a, b, e in ancestors(cuts, leaf)]))
             self.items.append((item_id, t, k))
         self.trie = ahocorasick.Automaton()
         for piece, uses in at.items():
@@ -86,8 +106,13 @@ class Matcher:
             return []
         hits: dict[int, set[int]] = {}
         for last, (size, uses) in self.trie.iter(t):
-            for n, off in uses:
-                hits.setdefault(n, set()).add(last + 1 - size - off)
+            for n, off, above in uses:
+                start = last + 1 - size - off
+                for a, part, e in above:  # the parts around the piece, in the budget of each
+                    if myers(part, t[max(0, start + a - e) : start + a + len(part) + e], e)[0] > e:
+                        break
+                else:
+                    hits.setdefault(n, set()).add(start)
         out = []
         for n, starts in hits.items():
             item_id, item, k = self.items[n]
