@@ -17,7 +17,9 @@ that succeeded stand in the manifest, so a lost executor costs its tasks and not
 from __future__ import annotations
 
 import json
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,10 @@ from pyspark.sql import functions as F
 from .common import new_path, save, small_batches
 
 MARK = b"LATTOK01"
-CACHE = 300_000
+CACHE = 1_000_000  # pieces a worker remembers; beyond, it starts anew
+#: A space before white space or the end: there the plain cut would not be the tokenizer's.
+_WHITE = re.compile(r"\s")
+_ODD = re.compile(r" (?=\s|$)")
 GAMMA = 2.0
 
 
@@ -171,7 +176,11 @@ class Encoder:
         self.wide = max(self.tok.get_vocab_size(), end_id + 1) > 1 << 16
         self.type = np.dtype("<u4" if self.wide else "<u2")
         self.end = np.array([end_id], self.type).tobytes()
-        self.known: dict[str, bytes] = {}
+        line = self.tok.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
+        self.code = "I" if self.wide else "H"
+        self.known: dict[str, bytes] = {}  # pieces as they are
+        self.spaced: dict[str, bytes] = {}  # pieces after one space
 
     def pieces(self, text: str) -> list[str]:
         if "<|" in text:
@@ -188,17 +197,42 @@ class Encoder:
                 out.append(" " + p)
         return out
 
+    def _learn(self, known: dict[str, bytes], wanted: set[str], before: str) -> None:
+        """Pieces of one word are encoded many to a text, a line end between them: the tokenizer cuts
+        there, the line end is one id, and no such piece holds it.  Others are encoded alone."""
+        new = list(wanted.difference(known))
+        plain = [p for p in new if before and self.line is not None and not _WHITE.search(p) and "<|" not in p]
+        for at in range(0, len(plain), 4096):
+            part = plain[at : at + 4096]
+            groups = [part[i : i + 256] for i in range(0, len(part), 256)]
+            for g, e in zip(groups, self.tok.encode_batch_fast([before + f"\n{before}".join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids, k = [], 0
+                for i in e.ids:
+                    if i == self.line:
+                        known[g[k]] = array(self.code, ids).tobytes()
+                        ids, k = [], k + 1
+                    else:
+                        ids.append(i)
+                known[g[k]] = array(self.code, ids).tobytes()
+                if k != len(g) - 1:
+                    raise ValueError("the tokenizer does not cut at line ends")
+        rest = [p for p in new if p not in known]
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            for p, e in zip(part, self.tok.encode_batch_fast([before + p for p in part], add_special_tokens=False), strict=True):
+                known[p] = array(self.code, e.ids).tobytes()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.pieces(t) if t else [] for t in texts]
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        new = list({p for c in cut for p in c}.difference(known))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for p, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, self.type).tobytes()
-        return [b"".join(map(known.__getitem__, c)) + self.end for c in cut]
+        """Ids of each text with the end id, as bytes."""
+        for known in (self.known, self.spaced):
+            if len(known) > CACHE:
+                known.clear()
+        odd = [bool(t) and ("<|" in t or bool(_ODD.search(t))) for t in texts]
+        cut = [self.pieces(t) if o else t.split(" ") if t else [] for t, o in zip(texts, odd, strict=True)]
+        self._learn(self.known, {p for c, o in zip(cut, odd, strict=True) for p in (c if o else c[:1])}, "")
+        self._learn(self.spaced, set().union(*(c[1:] for c, o in zip(cut, odd, strict=True) if not o)), " ")
+        first, rest = self.known.__getitem__, self.spaced.__getitem__
+        return [b"".join(map(first, c if o else c[:1])) + (b"" if o else b"".join(map(rest, c[1:]))) + self.end for c, o in zip(cut, odd, strict=True)]
 
 
 _ENCODERS: dict[tuple, Encoder] = {}

@@ -33,6 +33,14 @@ def test_encoder_is_the_library(encoder, library, text):
     assert ids(encoder, text) == library.encode(text, add_special_tokens=False).ids + [2]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("abz.,'!1é漢😀\n\u0085"), min_size=1, max_size=9), max_size=40))
+def test_words_are_the_library(encoder, library, words):
+    encoder.spaced.clear()
+    text = "x " + " ".join(words)
+    assert ids(encoder, text) == library.encode(text, add_special_tokens=False).ids + [2]
+
+
 def test_store_round_trip(spark, library):
     rows = [(i * 7 - 20, t) for i, t in enumerate(TEXTS)] + [(None, "no id"), (1, "same"), (1, "id")]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, start int").repartition(3)
