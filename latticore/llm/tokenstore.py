@@ -33,6 +33,8 @@ CACHE = 1_000_000  # pieces a worker remembers; beyond, it starts anew
 #: A space before white space or the end: there the plain cut would not be the tokenizer's.
 _WHITE = re.compile(r"\s")
 _ODD = re.compile(r" (?=\s|$)")
+#: Letters of the Latin blocks, then signs of ASCII (no apostrophe): byte-level BPE cuts just there.
+_LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
 GAMMA = 2.0
 
 
@@ -179,9 +181,68 @@ class Encoder:
         line = self.tok.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None
         self.code = "I" if self.wide else "H"
+        self.words = self._words()
         self.known: dict[str, bytes] = {}  # pieces as they are
         self.spaced: dict[str, bytes] = {}  # pieces after one space
 
+    def _words(self):
+        """The same model behind a plain cut at line ends, and its letters for bytes; None for
+        other kinds of tokenizer.  Words of one class of signs need no more than that."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        cut = json.loads(self.tok.to_str())
+        if self.line is None or cut["normalizer"] or cut["model"]["type"] != "BPE" or cut["truncation"] or cut["padding"]:
+            return None
+        kind = cut["pre_tokenizer"] or {}
+        if kind.get("type") != "ByteLevel" or kind.get("add_prefix_space") or not kind.get("use_regex"):
+            return None
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        table = {}
+        for first in range(0x80, 0x250):  # every byte of the UTF-8 of these letters
+            raw = chr(first).encode()
+            table |= dict(zip(raw, level.pre_tokenize_str(chr(first))[0][0], strict=True))
+        plain = Tokenizer(self.tok.model)
+        space, line = (level.pre_tokenize_str(c)[0][0] for c in " \n")
+        plain.pre_tokenizer = pre_tokenizers.Split(line, "isolated")
+        return plain, table, space, line
+
+    def _learn_words(self, new: list[str]) -> list[str]:
+        """Learn Latin words after a space, with the signs that follow them, and words with line ends
+        between them (one line end before a word is a cut and an id of its own); the pieces that are left."""
+        plain, table, space, line = self.words
+        lines = {p: c for p in new if "\n" in p and all(c := p.split("\n")) and "<|" not in p and not any(map(_WHITE.search, c))}
+        if lines:
+            self._learn(self.spaced, {c[0] for c in lines.values()}, " ")
+            self._learn(self.known, {x for c in lines.values() for x in c[1:]}, "")
+            end = np.array([self.line], self.type).tobytes()
+            for p, c in lines.items():
+                self.spaced[p] = end.join([self.spaced[c[0]], *[self.known[x] for x in c[1:]]])
+            new = [p for p in new if p not in self.spaced]
+        heads, signs, signed, left = set(), set(), [], []
+        for p in new:
+            if m := _LATIN.fullmatch(p):
+                word, sign = m.groups()
+                heads.add(word)
+                if sign:
+                    signs.add(sign)
+                    signed += p, word, sign  # flat: no object for each
+            else:
+                left.append(p)
+        heads = list(heads.difference(self.spaced))
+        self._learn(self.known, signs, "")
+        for at in range(0, len(heads), 4096):
+            part = heads[at : at + 4096]
+            groups = [part[i : i + 256] for i in range(0, len(part), 256)]
+            joined = [line.join(space + (w if w.isascii() else w.encode().decode("latin-1").translate(table)) for w in g) for g in groups]
+            for g, e in zip(groups, plain.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, self.type)
+                raw, size = ids.tobytes(), ids.itemsize
+                ends = (np.flatnonzero(ids == self.line) * size).tolist()
+                self.spaced.update(zip(g, [raw[a:b] for a, b in zip([0, *(x + size for x in ends)], [*ends, len(raw)], strict=True)], strict=True))
+        for p, word, sign in zip(signed[::3], signed[1::3], signed[2::3], strict=True):
+            self.spaced[p] = self.spaced[word] + self.known[sign]
+        return left
+
     def pieces(self, text: str) -> list[str]:
         if "<|" in text:
             return [text]
@@ -201,7 +262,9 @@ class Encoder:
         """Pieces of one word are encoded many to a text, a line end between them: the tokenizer cuts
         there, the line end is one id, and no such piece holds it.  Others are encoded alone."""
         new = list(wanted.difference(known))
-        plain = [p for p in new if before and self.line is not None and not _WHITE.search(p) and "<|" not in p]
+        if before and self.words:
+            new = self._learn_words(new)
+        plain = [p for p in new if p and self.line is not None and not _WHITE.search(p) and "<|" not in p]
         for at in range(0, len(plain), 4096):
             part = plain[at : at + 4096]
             groups = [part[i : i + 256] for i in range(0, len(part), 256)]
@@ -216,7 +279,7 @@ class Encoder:
                 known[g[k]] = array(self.code, ids).tobytes()
                 if k != len(g) - 1:
                     raise ValueError("the tokenizer does not cut at line ends")
-        rest = [p for p in new if p not in known]
+        rest = [p for p in new if p not in known] if len(plain) < len(new) else []
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
             for p, e in zip(part, self.tok.encode_batch_fast([before + p for p in part], add_special_tokens=False), strict=True):
