@@ -41,6 +41,18 @@ def test_words_are_the_library(encoder, library, words):
     assert ids(encoder, text) == library.encode(text, add_special_tokens=False).ids + [2]
 
 
+@pytest.mark.parametrize("text", [
+    "Ä ö ß, ñandú: x' y's a's! Ǆ ɏ× ÷a ªº µ b<|endoftext|> c", "a.\nB c\n\nd e\n f\ng h\n", "x\n\x1cy z\r\nw q\u2028r s\x85t",
+    "a b\nc\nd é\nÉ.\n<|endoftext|> x", ", a !! b?! c) d\" e_f g_ h- -i", "don't can't'll we'll' it''s", "Ünïcödé\u0301 x\u0301 naïve. ſ K Å",
+    "a " + " ".join(chr(c) + "x," for c in range(0xC0, 0x250)),
+])
+def test_latin_words_signs_and_lines_are_the_library(encoder, library, text):
+    assert encoder.words is not None
+    encoder.spaced.clear()
+    encoder.known.clear()
+    assert ids(encoder, text) == library.encode(text, add_special_tokens=False).ids + [2]
+
+
 def test_store_round_trip(spark, library):
     rows = [(i * 7 - 20, t) for i, t in enumerate(TEXTS)] + [(None, "no id"), (1, "same"), (1, "id")]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, start int").repartition(3)
