@@ -212,3 +212,22 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     alone = rows.filter("not good").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     drop(blocks)
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
+
+
+#: DuckDB's form: all pairs of one label, and components by the least reachable id.
+SQL = """
+WITH RECURSIVE rated AS (
+  SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e,
+         label IS NOT NULL AND coalesce(len(embedding), 0) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+           AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS good
+  FROM embeddings),
+unit AS (SELECT vec_id, label, [x / sqrt(list_inner_product(e, e)) FOR x IN e] AS u FROM rated WHERE good),
+linked AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE CASE WHEN len(a.u) = len(b.u) THEN list_inner_product(a.u, b.u) ELSE 0 END >= 0.93),
+reach AS (SELECT vec_id AS id, vec_id AS least FROM rated UNION SELECT l.b, r.least FROM reach r JOIN linked l ON l.a = r.id WHERE l.b > r.least),
+comp AS (SELECT id, min(least) AS component_id FROM reach GROUP BY id),
+links AS (SELECT a, count(*) AS n FROM linked GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(l.n, 0) AS BIGINT) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM rated v JOIN comp c ON c.id = v.vec_id LEFT JOIN links l ON l.a = v.vec_id
+"""

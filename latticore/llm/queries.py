@@ -76,5 +76,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_stratified_shards": shard.SQL.format(shards=8, seed="interleave"),
+    "op5_embedding_near_dedup": egojoin.SQL,
     "op7_hash_threshold_mixing": mixing.SQL.replace("{seed}", "mix"),
 }

@@ -59,12 +59,15 @@ def interleave(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", source_
     )
 
 
-#: DuckDB's form of the same ranking; {shards} and {seed} are filled in.  The checksum has no function there.
+#: DuckDB's form of the same ranking; {shards} and {seed} are filled in.  CRC-32 is folded byte by byte, with its table from the polynomial.
 SQL = """
-WITH base AS (
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t),
+base AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS s,
          md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h,
-         CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size
+         CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size,
+         [CAST('0x' || x AS BIGINT) FOR x IN regexp_extract_all(hex(encode(coalesce(text, ''))), '..')] AS bytes
   FROM documents),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY s ORDER BY h, doc_id NULLS FIRST, size) AS r, count(*) OVER (PARTITION BY s) AS n FROM base),
@@ -72,7 +75,7 @@ placed AS (
   SELECT *, row_number() OVER (ORDER BY ((2 * r - 1) * 4096) // (2 * n), CAST(2 * r - 1 AS DOUBLE) / (2 * n), s, r) - 1 AS pos, count(*) OVER () AS total
   FROM ranked),
 cut AS (SELECT *, ({shards} * (pos + 1) - 1) // total AS shard FROM placed)
-SELECT doc_id, size, 'rows' AS law, CAST(shard AS INTEGER) AS shard, CAST(pos - (shard * total) // {shards} AS BIGINT) AS slot,
+SELECT doc_id, size, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, CAST(pos - (shard * total) // {shards} AS BIGINT) AS slot,
        CAST(NULL AS INTEGER) AS grown_shard
-FROM cut
+FROM cut, crc
 """
