@@ -66,3 +66,10 @@ def precision_recall(counts: DataFrame) -> DataFrame:
 def voxels(points: DataFrame, size: float = 0.05, keys: tuple[str, ...] = ("frame",)) -> DataFrame:
     v = F.struct(*[F.floor(F.col(c) / F.lit(size)) for c in ("wx", "wy", "z")])
     return points.groupBy(*keys).agg(F.countDistinct(v).alias("voxels")).withColumn("bytes", F.col("voxels") * 10)
+
+
+def diagnostics(false_detections: DataFrame, size: str = "n_cells") -> DataFrame:
+    """Per class: false detections, their shares near a true object of the same and of another class, quartiles of their sizes."""
+    share = lambda c: F.avg(F.col(c).cast("int")).alias(c if c == "other_class" else "fragments")
+    q = [F.percentile(size, F.lit(p)).alias(n) for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))]
+    return false_detections.groupBy("cls").agg(F.count("*").alias("n"), share("fragment"), share("other_class"), *q)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import column_of
@@ -55,3 +55,29 @@ def ring_order(points: DataFrame, ids: int = 64) -> DataFrame:
 def paint(points: DataFrame, pixels: DataFrame) -> DataFrame:
     """Each point takes its pixel's prediction; points outside the image have none."""
     return points.join(pixels, ["frame", "row", "col"], "left")
+
+
+def row_of(elev: Column, table: list[float]) -> Column:
+    """Image row of an elevation by linear interpolation in a table of row elevations (top first, falling).
+
+    Beyond half a row's spacing outside the table it is -1; halves go to the even row."""
+    half = abs(table[0] - table[-1]) / max(len(table) - 1, 1) / 2
+    tab = F.array(*[F.lit(float(v)) for v in table])
+    at = F.size(F.filter(tab, lambda v: v > elev))  # the first row that does not lie above
+    hi, lo = F.get(tab, at - 1), F.get(tab, at)
+    inner = F.rint(at - 1 + (hi - elev) / (hi - lo)).cast("int")
+    row = F.when((elev > table[0] + half) | (elev < table[-1] - half), -1).when(elev >= table[0], 0).when(elev <= table[-1], len(table) - 1)
+    return row.otherwise(inner)
+
+
+def scale_intensity(points: DataFrame, col: str = "inten", most: float = 1.5) -> DataFrame:
+    """Intensities of a frame whose greatest exceeds `most` are bytes: they are divided by 255."""
+    top = points.groupBy("frame").agg(F.max(col).alias("_top"))  # a row a frame
+    scaled = F.when(F.col("_top") > most, F.col(col) / 255).otherwise(F.col(col))
+    return points.join(top, "frame").withColumn(col, scaled).select(*points.columns)
+
+
+def overlay_sample(points: DataFrame, most: int = 12_000, seed: str = "overlay") -> DataFrame:
+    """At most `most` points of each frame: those of the least hash, the same in every run."""
+    order = Window.partitionBy("frame").orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col("pid").cast("string"))), "pid", "x", "y")
+    return points.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= most).drop("_k")

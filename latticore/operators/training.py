@@ -32,3 +32,8 @@ def augment(points: DataFrame, seed: int = 0) -> DataFrame:
     u = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col("frame")), F.lit(1 << 20)) / float(1 << 20)
     s, g = 0.95 + 0.1 * u(1), 0.8 + 0.4 * u(2)
     return points.withColumns({"x": F.col("x") * s, "y": F.col("y") * s, "z": F.col("z") * s, "inten": F.least(F.col("inten") * g, F.lit(1.0))})
+
+
+def label_statistics(points: DataFrame) -> DataFrame:
+    """Per true class: labelled points, moving ones and static ones."""
+    return points.filter("label >= 0").groupBy("label").agg(F.count("*").alias("n"), F.count_if("gt_moving").alias("n_moving"), F.count_if(~F.col("gt_moving")).alias("n_static"))

@@ -6,7 +6,7 @@ import __spark_entry__
 from latticore.functions import scalar as S
 from latticore.operators import binning, derive, fusion, metrics, objects
 from latticore.schema import tiers
-from latticore.sources import kitti, sweeps
+from latticore.sources import kitti, raycast, sweeps
 from latticore.streaming import live
 
 
@@ -124,3 +124,13 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_dilation_and_entry(spark):
     assert derive.dilate(spark.createDataFrame([(0, 0)], "ci long, cj long")).count() == 13
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_rays_of_plain_scenes(spark):
+    beams = spark.createDataFrame([(0, 0, 1.0, 0.0, 0.0), (1, 0, 0.0, 0.0, -1.0), (2, 0, -1.0, 0.0, 0.0), (3, 0, 0.6, 0.0, -0.8)], "row int, col int, dx double, dy double, dz double")
+    empty = {r.row: r.range for r in raycast.cast(beams, [], [(0.0, 0.0, 0.5, 0.1)], (0.0, 0.0, 2.0)).collect()}
+    assert empty == {0: None, 1: pytest.approx(2.1), 2: None, 3: pytest.approx(2.5)}
+    scene = [raycast.Solid(0, 7, 1, 10.0, -1.0, 0.0, 12.0, 1.0, 3.0, vx=2.0), raycast.Solid(1, 8, 2, -5.0, 0.0, 1.0, 0.0, 3.0), raycast.Solid(2, 4, 3, 30.0, 0.0, 2.0, 4.0)]
+    got = {r.row: (r.range, r.cls, r.inst, r.moving) for r in raycast.cast(beams, scene, (), (0.0, 0.0, 2.0), t=0.5).collect()}
+    assert got[0] == (pytest.approx(11.0), 7, 1, True) and got[2] == (pytest.approx(4.0), 8, 2, False) and got[1] == (pytest.approx(2.0), 0, 0, False)
+    assert raycast.beam_table(spark).count() == raycast.BEAMS * raycast.COLUMNS
