@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import slices
 
 RATE = 0.1
 LEAST = 24  # shorter items (in characters) are too common to tell anything and match nothing
@@ -144,7 +144,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: s
     Null and empty texts hold nothing; items that are null or shorter than 24 characters match
     nothing; repeated items are reported one by one."""
     spark = docs.sparkSession
-    small_batches(spark)
     sized = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("t")).filter("item_id is not null and t is not null")
     sized = sized.withColumn("upto", F.sum(F.length("t")).over(Window.orderBy("item_id", "t")))
     blocks = sized.select("item_id", "t", F.floor(F.col("upto") / BLOCK).alias("block"))
@@ -156,7 +155,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: s
 
         def run(batches, held=held):
             m = Matcher(held.value, rate)
-            for b in batches:
+            for b in slices(batches):
                 rows = [(i, *x) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in m.find(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["id", "item_id", "distance", "end_at"])
 

@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Each round is two aggregations and two equi-joins over the edge list, so nothing is gathered on
-the driver but two sums per round that tell whether the edges still change.
+the driver but a few sums per round that tell whether the edges still change.  A hub's edges
+(any number) are not gathered in one task: heavy nodes are joined by broadcast.
 """
 
 from __future__ import annotations
@@ -9,17 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, save
+from .common import drop, join_heavy, save
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     """large: every larger neighbour of u goes to u's least; small: every smaller one and u itself do."""
     if large:
         near = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    both = near.join(least, "u")
+    least = near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    both = join_heavy(near, least, "u", "n", total)
     if large:
         moved = both.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -41,7 +42,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
                 now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         mark = tuple(got)
-        then = save(_star(_star(now, True), False), "edges")
-        drop(now)
+        half = save(_star(now, True, 2 * got[0]), "edges")
+        then = save(_star(half, False, got[0]), "edges")
+        drop(now, half)
         now = then
     raise RuntimeError("components did not settle")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches
+from .common import held_out, slices
 from .sample import hash_sample
 
 ORDER, BITS = 4, 6
@@ -68,7 +68,6 @@ def grams(text: str | None) -> np.ndarray:
 
 def gram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, gram int, n long) over all rows with a language: summed in each task, then by key."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         held: dict[str, list[np.ndarray]] = {}
@@ -86,7 +85,7 @@ def gram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
                 total[lang] = (key, n)
             held.clear()
 
-        for b in batches:
+        for b in slices(batches):
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 g = grams(text)
                 held.setdefault(lang, []).append(g)
@@ -189,13 +188,12 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     A null text or one without a letter is `und` with score 0; ties go to the first language in
     code point order.  With no learned language all is `und`."""
-    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = held.value
         look = m.lookup() if m.langs else None
-        for b in batches:
+        for b in slices(batches):
             parts = [grams(t) for t in b.column(1).to_pylist()]
             h = look(parts) if look else np.full((len(parts), 1), np.inf)
             best = h.argmin(axis=1)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, save, small_batches
+from .common import new_path, save, slices
 
 MARK = b"LATTOK01"
 CACHE = 1_000_000  # pieces a worker remembers; beyond, it starts anew
@@ -314,7 +314,6 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = 2, id_col: str
     Null texts are as empty (the end id alone).  Null ids come first and have no key.  Rows with one
     id keep all their ids, ordered by text; the key finds the first."""
     spark = docs.sparkSession
-    small_batches(spark, 500)
     folder = folder or new_path(spark, "tokens")
     fs, at = filesystem(folder)
     fs.create_dir(at, recursive=True)
@@ -338,7 +337,7 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = 2, id_col: str
             kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["part", "piece", "file", "n_docs", "n_tokens", "first_id", "last_id"])
 
-        for b in batches:
+        for b in slices(batches):
             for k, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
                 if out is None:
                     name = f"{folder}/shard-{part:06d}-{piece:04d}-{uuid.uuid4().hex[:10]}.bin"
@@ -360,7 +359,7 @@ def read(manifest: DataFrame) -> DataFrame:
     placed = manifest.select("file", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("base"))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             for file, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 r = Reader(file)
                 first = np.where(r.null, np.arange(len(r.keys)), r.find(r.keys))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import slices
 from .sample import fit_logistic, hash_sample, sigmoid
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -171,13 +171,12 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str] = ("lexical",
 
 def predict(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, one double per category p_<name>, score, predicted int) for every row; null and empty texts score as texts without any evidence."""
-    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(chain)
     names = [f"p_{x.name}" for x in chain.links]
 
     def run(batches):
         m = held.value
-        for b in batches:
+        for b in slices(batches):
             p = m.predict(b.column(1).to_pylist())
             s = p[:, -1] if p.shape[1] else np.zeros(b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c) for c in p.T], pa.array(s), pa.array((s >= m.threshold).astype(np.int32))], ["id", *names, "score", "predicted"])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import slices
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -101,14 +101,13 @@ _COUNTERS: dict[str, Counter] = {}
 
 def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens long) for every row of docs."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         key = path or default_path()
         if key not in _COUNTERS:
             _COUNTERS[key] = Counter(vocabulary(key))
         c = _COUNTERS[key]
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.count(t) for t in b.column(1).to_pylist()], pa.int64())], ["id", "n_tokens"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, n_tokens long")

@@ -36,13 +36,36 @@ def brute_components(fps):
 def test_golay_code_is_perfect():
     errors = simhash.error_table()
     assert len(set(errors.tolist())) == 2048
-    words = np.random.default_rng(1).integers(0, 1 << 23, 500).astype(np.uint32)
-    row, _ = simhash.fuzzy(words, errors)
+    words = np.random.default_rng(1).integers(0, 1 << 23, 400).astype(np.uint32)
+    row, key = simhash.fuzzy(words, errors)
     assert set(np.bincount(row)) <= {1, 6}
+    near = {k: set(key[row == k].tolist()) for k in range(len(words))}
     for i in range(23):
-        own = simhash.decode(words ^ np.uint32(1 << i), errors)
-        row, key = simhash.fuzzy(words, errors)
-        assert all(own[r] in key[row == r] for r in range(0, 500, 50))
+        for j in range(i, 23):  # one bit (i = j) or two
+            flip = np.uint32(1 << i | 1 << j)
+            row2, key2 = simhash.fuzzy(words[:40] ^ flip, errors)
+            assert all(near[k] & set(key2[row2 == k].tolist()) for k in range(40))
+
+
+def test_keys_cover_four_bits_and_are_rare_by_chance():
+    errors = simhash.error_table()
+    rng = np.random.default_rng(2)
+    fp = rng.integers(0, 1 << 63, 300, dtype=np.uint64) << np.uint64(1) | rng.integers(0, 2, 300, dtype=np.uint64)
+    other = fp.copy()
+    for k in range(len(fp)):
+        for b in rng.choice(64, k % 5, replace=False):
+            other[k] ^= np.uint64(1) << np.uint64(b)
+
+    def keys(x):
+        got = [set() for _ in x]
+        for row, key in (simhash.exact_keys(x), simhash.fuzzy_keys(x, errors)):
+            for r, k in zip(row.tolist(), key.tolist()):
+                got[r].add(k)
+        return got
+
+    a, b = keys(fp), keys(other)
+    assert all(x & y for x, y in zip(a, b))
+    assert sum(bool(x & y) for i, x in enumerate(a) for y in a[:i]) == 0
 
 
 def test_fingerprints(spark):
