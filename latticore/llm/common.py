@@ -66,6 +66,14 @@ def drop(*tables: DataFrame) -> None:
             remove(df.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffles of plans that are done: it acts when the driver collects its garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
