@@ -1,36 +1,57 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 A test item of m characters may differ from a passage of a document by k = floor(rate * m) edits.
-Cut into k + 1 pieces, at least one piece then stands unchanged in the passage.  Aho-Corasick finds
-all pieces of all items in a document in one walk.  Around each hit Myers' bit-parallel algorithm
-computes the least edit distance of larger and larger parts of the item (runs of p pieces, which
-may hold p - 1 edits), and of the item itself: k or fewer is a match.
-
-Texts are compared in lower case with white space runs as one space.  Items are taken in blocks of
-bounded size, so that what a task holds does not grow with the benchmark; documents are only read.
+Cut into k + 1 pieces, at least one piece then stands unchanged in the passage.  The pieces' first
+8 characters (all of shorter ones) are looked up by a 64-bit hash of every window of the document:
+one pass, a few array operations a text.  Around each hit Myers' bit-parallel algorithm computes
+the least edit distance of larger and larger parts of the item (runs of p pieces, which may hold
+p - 1 edits), for many hits at once while a part fits 64 bits, and of the item itself: k or fewer
+is a match.  An item too short for an edit (under 10 characters at 10 %) must stand there as whole words.
+
+Texts are compared in lower case with white space runs as one space.  All items up to BLOCK
+characters are matched in one pass over the documents; a larger benchmark takes one for each block,
+so that what a task holds does not grow with it.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import save, slices
 
 RATE = 0.1
-LEAST = 24  # shorter items (in characters) are too common to tell anything and match nothing
-BLOCK = 4 << 20  # characters of items in a block
+BLOCK = 1 << 25  # characters of items in a block
+ANCHOR = 8
+HITS = 4096  # hits that are verified at once
+_MULT = np.uint64(0x9E3779B97F4A7C15)
+_NONE = np.uint32(0xFFFFFFFF)
 
 
 def plain(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
-def pieces(item: str, k: int) -> list[tuple[int, str]]:
-    """(offset, piece) of k + 1 pieces whose lengths differ by one at most."""
-    cut = [i * len(item) // (k + 1) for i in range(k + 2)]
-    return [(a, item[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def windows(cp: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of each window of `size` characters, built from those of half the size."""
+    if len(cp) < size:
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        if size == 1:
+            h = (cp.astype(np.uint64) + np.uint64(1)) * _MULT
+            return h ^ (h >> np.uint64(29))
+        left = size // 2
+        a = windows(cp, left)
+        b = a if size == 2 * left else windows(cp, size - left)
+        n = len(cp) - size + 1
+        h = a[:n] * np.uint64(2 * size + 1) + (b[left : left + n] ^ (b[left : left + n] >> np.uint64(31))) * _MULT
+        return h ^ (h >> np.uint64(29))
 
 
 def myers(item: str, text: str, most: int) -> tuple[int, int]:
@@ -62,67 +83,130 @@ def myers(item: str, text: str, most: int) -> tuple[int, int]:
     return best, end
 
 
-def ancestors(cuts: list[int], leaf: int) -> list[tuple[int, int, int]]:
-    """(start, end, budget) of the parts of an item that hold a piece, from the smallest up, the whole excepted.
-
-    Halving a run of p pieces with budget p - 1 again and again, one half of each always stays
-    within its own count less one (else both would exceed it, and so would the run).  So a match has
-    a piece that stands unchanged and whose every ancestor stays within its budget."""
-    lo, hi, out = 0, len(cuts) - 1, []
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        lo, hi = (lo, mid) if leaf < mid else (mid, hi)
-        if hi - lo > 1:
-            out.append((cuts[lo], cuts[hi], hi - lo - 1))
-    return out[::-1]
+def myers_many(patterns: np.ndarray, m: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Distance of the nearest substring of each row of texts to the row's pattern of m (1 to 64) characters.
+
+    Rows are padded: patterns anyhow, texts with a character that no pattern has."""
+    one, full = np.uint64(1), np.full(len(m), 2**64 - 1, np.uint64) >> (np.uint64(64) - m.astype(np.uint64))
+    top = one << (m.astype(np.uint64) - one)
+    bit = one << np.arange(patterns.shape[1], dtype=np.uint64)
+    pv, mv, score = full.copy(), np.zeros(len(m), np.uint64), m.astype(np.int64)
+    best = score.copy()
+    with np.errstate(over="ignore"):
+        for j in range(texts.shape[1]):
+            e = ((patterns == texts[:, j : j + 1]) * bit).sum(axis=1, dtype=np.uint64) & full
+            xh = (((e & pv) + pv) ^ pv) | e | mv
+            ph = mv | (full & ~(xh | pv))
+            mh = pv & xh
+            score += ((ph & top) != 0).astype(np.int64) - ((mh & top) != 0)
+            np.minimum(best, score, out=best)
+            ph, mh = (ph << one) & full, (mh << one) & full
+            xv = e | mv
+            pv, mv = mh | (full & ~(xv | ph)), ph & xv
+    return best
 
 
 class Matcher:
     def __init__(self, items: list[tuple[int, str | None]], rate: float = RATE):
-        import ahocorasick
-
         self.items: list[tuple[int, str, int]] = []
-        at: dict[str, list[tuple[int, int, list]]] = {}
+        found: dict[int, list[tuple[np.ndarray, int, int]]] = {}
         for item_id, text in items:
             t = plain(text)
-            if len(t) < LEAST:
+            if not t:
                 continue
-            k = int(rate * len(t))
-            cut = pieces(t, k)
-            cuts = [off for off, _ in cut] + [len(t)]
-            for leaf, (off, piece) in enumerate(cut):
-                at.setdefault(piece, []).append((len(self.items), off, [(a, t[a:b], e) for a, b, e in ancestors(cuts, leaf)]))
+            m, k = len(t), int(rate * len(t))
+            size = min(m // (k + 1), ANCHOR)
+            own = windows(codes(t), size)[[i * m // (k + 1) for i in range(k + 1)]]
+            found.setdefault(size, []).append((own, len(self.items), k + 1))
             self.items.append((item_id, t, k))
-        self.trie = ahocorasick.Automaton()
-        for piece, uses in at.items():
-            self.trie.add_word(piece, (len(piece), uses))
-        if at:
-            self.trie.make_automaton()
+        self.text = np.concatenate([codes(t) for _, t, _ in self.items]) if self.items else np.zeros(0, np.uint32)
+        self.size = np.array([len(t) for _, t, _ in self.items], np.int64)
+        self.at = np.cumsum(self.size) - self.size
+        self.budget = np.array([k for _, _, k in self.items], np.int64)
+        self.anchors = {}
+        for size, uses in found.items():
+            h = np.concatenate([u[0] for u in uses])
+            item = np.repeat([u[1] for u in uses], [u[2] for u in uses])
+            leaf = np.concatenate([np.arange(u[2]) for u in uses])
+            order = np.argsort(h, kind="stable")
+            bits = max(16, min(27, int(16 * len(h)).bit_length()))
+            table = np.zeros(1 << bits, bool)
+            table[(h >> np.uint64(64 - bits)).astype(np.int64)] = True
+            self.anchors[size] = (h[order], item[order], leaf[order], table, np.uint64(64 - bits))
+
+    def hits(self, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, piece, where the item would start) of every anchor that stands in the text."""
+        out = []
+        for size, (known, item, leaf, table, shift) in self.anchors.items():
+            h = windows(cp, size)
+            pos = np.flatnonzero(table[(h >> shift).astype(np.int64)])
+            if not len(pos):
+                continue
+            low, high = np.searchsorted(known, h[pos]), np.searchsorted(known, h[pos], "right")
+            n = high - low
+            entry = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            which, piece = item[entry], leaf[entry]
+            out.append((which, piece, np.repeat(pos, n) - piece * self.size[which] // (self.budget[which] + 1)))
+        if not out:
+            return tuple(np.zeros(0, np.int64) for _ in range(3))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def near(self, cp: np.ndarray, item: np.ndarray, piece: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Which hits have all parts around the piece, as far as they fit 64 characters, within the budget of each.
+
+        Halving a run of p pieces with budget p - 1 again and again, one half of each always stays
+        within its own count less one (else both would exceed it, and so would the run).  So a match has
+        a piece that stands unchanged and whose every ancestor stays within its budget."""
+        n, m = self.budget[item] + 1, self.size[item]
+        lo, hi, levels = np.zeros(len(item), np.int64), n.copy(), []
+        while True:
+            levels.append((lo, hi))
+            if (hi - lo <= 1).all():
+                break
+            mid = (lo + hi) // 2
+            on = hi - lo > 1
+            lo, hi = np.where(on & (piece >= mid), mid, lo), np.where(on & (piece < mid), mid, hi)
+        keep = np.ones(len(item), bool)
+        for lo, hi in levels[::-1]:
+            a, b, e = lo * m // n, hi * m // n, hi - lo - 1
+            row = np.flatnonzero(keep & (e > 0) & (b - a <= 64))
+            for s in range(0, len(row), HITS):
+                r = row[s : s + HITS]
+                size, most = b[r] - a[r], e[r]
+                pattern = self.text[np.minimum((self.at[item[r]] + a[r])[:, None] + np.arange(size.max()), len(self.text) - 1)]
+                where = (start[r] + a[r] - most)[:, None] + np.arange((size + 2 * most).max())
+                inside = (where >= 0) & (where < len(cp)) & (np.arange(where.shape[1]) < (size + 2 * most)[:, None])
+                text = np.where(inside, cp[np.clip(where, 0, len(cp) - 1)], _NONE)
+                keep[r] = myers_many(pattern, size, text) <= most
+        return keep
 
     def find(self, text: str | None) -> list[tuple[int, int, int]]:
         """(item_id, distance, end in the plain text) of every item that the text holds."""
         t = plain(text)
-        if not self.items or len(t) < LEAST // 2:
+        if not self.items or not t:
             return []
-        hits: dict[int, set[int]] = {}
-        for last, (size, uses) in self.trie.iter(t):
-            for n, off, above in uses:
-                start = last + 1 - size - off
-                for a, part, e in above:  # the parts around the piece, in the budget of each
-                    if myers(part, t[max(0, start + a - e) : start + a + len(part) + e], e)[0] > e:
-                        break
-                else:
-                    hits.setdefault(n, set()).add(start)
+        cp = codes(t)
+        item, piece, start = self.hits(cp)
+        if not len(item):
+            return []
+        keep = self.near(cp, item, piece, start)
+        starts: dict[int, set[int]] = {}
+        for n, s in zip(item[keep].tolist(), start[keep].tolist(), strict=True):
+            starts.setdefault(n, set()).add(s)
         out = []
-        for n, starts in hits.items():
-            item_id, item, k = self.items[n]
-            m = len(item)
-            exact = min((s for s in starts if s >= 0 and t.startswith(item, s)), default=None)
+        for n, own in starts.items():
+            item_id, pattern, k = self.items[n]
+            m = len(pattern)
+            ordered = sorted(own)
+            whole = lambda s: k or ((s == 0 or t[s - 1] == " ") and (s + m == len(t) or t[s + m] == " "))
+            exact = next((s for s in ordered if s >= 0 and t.startswith(pattern, s) and whole(s)), None)
             if exact is not None:
                 out.append((item_id, 0, exact + m))
                 continue
+            if not k:
+                continue
             # windows of starts that lie within the error budget of each other are searched as one
-            ordered, best = sorted(starts), (k + 1, -1)
+            best = (k + 1, -1)
             i = 0
             while i < len(ordered):
                 j = i
@@ -130,7 +214,7 @@ class Matcher:
                     j += 1
                 lo, hi = max(0, ordered[i] - k), min(len(t), ordered[j] + m + k)
                 if hi - lo >= m - k:
-                    d, end = myers(item, t[lo:hi], k)
+                    d, end = myers(pattern, t[lo:hi], k)
                     best = min(best, (d, lo + end))
                 i = j + 1
             if best[0] <= k:
@@ -141,17 +225,17 @@ class Matcher:
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, item_id, distance, end_at): one row for each document row and item that it holds.
 
-    Null and empty texts hold nothing; items that are null or shorter than 24 characters match
-    nothing; repeated items are reported one by one."""
+    Null and empty texts hold nothing; items that are null, empty or without an id match nothing;
+    repeated items and repeated documents are reported one by one, a null id of a document is kept."""
     spark = docs.sparkSession
-    sized = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("t")).filter("item_id is not null and t is not null")
-    sized = sized.withColumn("upto", F.sum(F.length("t")).over(Window.orderBy("item_id", "t")))
-    blocks = sized.select("item_id", "t", F.floor(F.col("upto") / BLOCK).alias("block"))
-    n = blocks.agg(F.max("block")).first()[0]
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("t")).filter("item_id is not null and t is not null")
+    total = items.agg(F.sum(F.length("t"))).first()[0] or 0
+    blocks = -(-total // BLOCK) or 1
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     out = None
-    for k in range((n or 0) + 1):
-        held = spark.sparkContext.broadcast([(r.item_id, r.t) for r in blocks.filter(F.col("block") == k).orderBy("item_id", "t").collect()])
+    for k in range(blocks):
+        own = items.filter(F.pmod(F.xxhash64("item_id", "t"), F.lit(blocks)) == k)  # about BLOCK characters
+        held = spark.sparkContext.broadcast([(r.item_id, r.t) for r in own.orderBy("item_id", "t").collect()])
 
         def run(batches, held=held):
             m = Matcher(held.value, rate)
@@ -160,5 +244,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: s
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["id", "item_id", "distance", "end_at"])
 
         part = source.mapInArrow(run, "id long, item_id long, distance int, end_at int")
+        if blocks > 1:  # one block's items are held at a time
+            part = save(part, "matches")
+            held.destroy()
         out = part if out is None else out.union(part)
     return out
