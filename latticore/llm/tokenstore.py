@@ -3,12 +3,15 @@
 A shard file holds the raw ids of its documents in ascending id order (unsigned 16 or 32 bit,
 little endian), then an index, then the index's length and a mark:
 
-    payload | json length (u32) | json | arrays | index length (u64) | b"LATTOK01"
+    payload | json length (u32) | json | arrays | index length (u64) | b"LATTOK02"
 
-Arrays: `ends` (ids up to and with each document), `keys` (the documents' keys), the levels of the
-hash function (bit arrays), and per slot a fingerprint (u32) and the key's first row.  A key goes to
-its slot by at most a few probes, the fingerprint tells keys that are not there, and the row gives
-the offset: constant time for a keyed read, which needs the index and one range of the payload.
+Arrays: `ends` (ids up to and with each document), the levels of the hash function (bit arrays),
+and per slot the key's fingerprint (u32), its first row and how many rows it has.  Keys themselves
+are not stored.  The manifest, a row a file, has the range of keys of each: a key goes to its file
+(or files, where its rows fill several) by binary search, to its slot by a few probes, the
+fingerprint tells keys that are not there (but for one in 2^32), and the row gives the offset:
+constant time for a keyed read.  read() serves any set of keys this way, sorted by file, so that
+payloads are read in long ranges.
 
 Files are written by the tasks into the shared folder under names used once; only files of tasks
 that succeeded stand in the manifest, so a lost executor costs its tasks and nothing else.
@@ -27,8 +30,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, save, slices
+from .hashing import mix64
 
-MARK = b"LATTOK01"
+MARK = b"LATTOK02"
+CHUNK = 1 << 21  # ids of the payload that are read at once
+BLOCK = 1 << 16  # files whose key ranges are broadcast at once
 CACHE = 1_000_000  # pieces a worker remembers; beyond, it starts anew
 #: A space before white space or the end: there the plain cut would not be the tokenizer's.
 _WHITE = re.compile(r"\s")
@@ -38,15 +44,6 @@ _LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
 GAMMA = 2.0
 
 
-def mix64(x: np.ndarray, seed: int) -> np.ndarray:
-    """A 64-bit finaliser (splitmix64) of keys and seed."""
-    with np.errstate(over="ignore"):
-        z = x.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x9E3779B97F4A7C15) & (2**64 - 1))
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
 class PerfectHash:
     """Minimal perfect hash of distinct 64-bit keys: level by level, the keys alone on a bit keep it."""
 
@@ -90,29 +87,36 @@ def filesystem(uri: str):
 
 
 class Writer:
+    """Documents come in ascending order of their keys, null keys first."""
+
     def __init__(self, uri: str, wide: bool):
         self.fs, self.path = filesystem(uri)
-        self.wide, self.ends, self.keys, self.n = wide, [], [], 0
+        self.wide, self.ends, self.n = wide, [], 0
+        self.keys: list[int] = []  # distinct, of rows that `first` gives
+        self.first: list[int] = []
+        self.nulls = 0
         self.out = self.fs.open_output_stream(self.path)
 
     def add(self, key: int | None, ids: bytes) -> None:
         self.out.write(ids)
+        if key is None:
+            self.nulls += 1
+        elif not self.keys or self.keys[-1] != key:
+            self.keys.append(key)
+            self.first.append(len(self.ends))
         self.n += len(ids) // (4 if self.wide else 2)
         self.ends.append(self.n)
-        self.keys.append(key)
 
     def close(self) -> None:
-        null = np.array([k is None for k in self.keys], bool)
-        keys = np.array([k or 0 for k in self.keys], np.int64)
-        distinct, first = np.unique(keys[~null], return_index=True)
-        first = np.nonzero(~null)[0][first]
-        mph = PerfectHash.build(distinct)
-        slots = mph.slots(distinct)
-        prints, rows = np.zeros(len(distinct), np.uint32), np.zeros(len(distinct), np.int64)
-        prints[slots], rows[slots] = _fingerprints(distinct), first
-        arrays = {"ends": np.array(self.ends, np.int64), "keys": keys, "null": np.packbits(null), "prints": prints, "rows": rows}
+        keys, first = np.array(self.keys, np.int64), np.array(self.first, np.int64)
+        mph = PerfectHash.build(keys)
+        slots = mph.slots(keys)
+        prints, rows, counts = np.zeros(len(keys), np.uint32), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        prints[slots], rows[slots] = _fingerprints(keys), first
+        counts[slots] = np.diff(first, append=len(self.ends))
+        arrays = {"ends": np.array(self.ends, np.int64), "prints": prints, "rows": rows, "counts": counts}
         arrays |= {f"level{k}": np.packbits(bits) for k, bits in enumerate(mph.levels)}
-        head = json.dumps({"wide": self.wide, "docs": len(keys), "sizes": [len(b) for b in mph.levels], "arrays": [[n, a.dtype.str, len(a)] for n, a in arrays.items()]}).encode()
+        head = json.dumps({"wide": self.wide, "nulls": self.nulls, "sizes": [len(b) for b in mph.levels], "arrays": [[n, a.dtype.str, len(a)] for n, a in arrays.items()]}).encode()
         index = len(head).to_bytes(4, "little") + head + b"".join(a.tobytes() for a in arrays.values())
         self.out.write(index + len(index).to_bytes(8, "little") + MARK)
         self.out.close()
@@ -137,27 +141,67 @@ class Reader:
             got[name] = np.frombuffer(index, kind, count, at)
             at += got[name].nbytes
         self.type = np.dtype("<u4" if head["wide"] else "<u2")
-        self.ends, self.keys, self.prints, self.rows = (got[k] for k in ("ends", "keys", "prints", "rows"))
-        self.null = np.unpackbits(got["null"], count=head["docs"]).astype(bool)
+        self.ends, self.prints, self.rows, self.counts = (got[k] for k in ("ends", "prints", "rows", "counts"))
+        self.nulls = head["nulls"]
         self.mph = PerfectHash([np.unpackbits(got[f"level{k}"], count=c).astype(bool) for k, c in enumerate(head["sizes"])])
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """First row of each key, -1 for keys that the file does not hold."""
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First row and number of rows of each key; 0 rows for keys that the file does not hold."""
         if not len(self.prints):
-            return np.full(len(keys), -1)
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         slot = self.mph.slots(keys)
         there = (slot >= 0) & (self.prints[slot] == _fingerprints(keys))
-        return np.where(there, self.rows[slot], -1)
+        return np.where(there, self.rows[slot], 0), np.where(there, self.counts[slot], 0)
 
-    def row(self, i: int) -> np.ndarray:
-        start = int(self.ends[i - 1]) if i else 0
-        size = self.type.itemsize
-        return np.frombuffer(self.file.read_at((int(self.ends[i]) - start) * size, start * size), self.type)
+    def bounds(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.where(rows > 0, self.ends[np.maximum(rows - 1, 0)], 0), self.ends[rows]
 
-    def get(self, key: int) -> np.ndarray | None:
-        """The ids of the first document with this key, or None."""
-        i = int(self.find(np.array([key], np.int64))[0])
-        return self.row(i) if i >= 0 and self.keys[i] == key and not self.null[i] else None
+    def ids(self, start: int, end: int) -> np.ndarray:
+        size = self.type.itemsize
+        return np.frombuffer(self.file.read_at((end - start) * size, start * size), self.type)
+
+    def get(self, key: int) -> list[np.ndarray]:
+        """The ids of each document with this key."""
+        (first,), (n,) = self.find(np.array([key], np.int64))
+        return [self.ids(int(a), int(b)) for a, b in zip(*self.bounds(np.arange(first, first + n)), strict=True)]
+
+    def checks(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and CRC-32 (of little-endian unsigned 32-bit ids) of rows, whose payload is read in long ranges."""
+        starts, ends = self.bounds(rows)
+        crc = np.zeros(len(rows), np.int64)
+        order = np.argsort(starts, kind="stable")
+        i = 0
+        while i < len(order):
+            j, low = i, int(starts[order[i]])
+            # as long as the range stays short, and what is asked for fills a quarter of it
+            asked = 0
+            while j < len(order) and (j == i or (ends[order[j]] - low <= CHUNK and 4 * (asked + ends[order[j]] - starts[order[j]]) >= ends[order[j]] - low)):
+                asked += int(ends[order[j]] - starts[order[j]])
+                j += 1
+            high = int(ends[order[i:j]].max())
+            raw = memoryview(self.ids(low, high).astype("<u4").tobytes())
+            for k in order[i:j].tolist():
+                crc[k] = zlib.crc32(raw[4 * (int(starts[k]) - low) : 4 * (int(ends[k]) - low)])
+            i = j
+        return starts, ends, crc
+
+
+class Store:
+    """Keyed access across files on one machine: files is the manifest's (file, first_id, last_id), in their order."""
+
+    def __init__(self, files: list[tuple[str, int | None, int | None]]):
+        self.files = [f for f in files if f[1] is not None]
+        self.first, self.last = (np.array([f[k] for f in self.files], np.int64) for k in (1, 2))
+        self.open: dict[int, Reader] = {}
+
+    def get(self, key: int) -> list[np.ndarray]:
+        """The ids of every document with this key."""
+        out = []
+        for k in range(int(np.searchsorted(self.last, key)), int(np.searchsorted(self.first, key, "right"))):
+            if k not in self.open:
+                self.open[k] = Reader(self.files[k][0])
+            out += self.open[k].get(key)
+        return out
 
 
 class Encoder:
@@ -309,10 +353,11 @@ def default_path() -> str:
 
 def write(docs: DataFrame, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, most_ids: int = 1 << 26) -> DataFrame:
     """Encode and write all rows in ascending id order; -> the manifest, one row a shard file:
-    part, piece (their order is the files' order), file, n_docs, n_tokens, first and last id.
+    part, piece (their order is the files' order), file, n_docs, n_tokens, n_null, first and last id.
 
     Null texts are as empty (the end id alone).  Null ids come first and have no key.  Rows with one
-    id keep all their ids, ordered by text; the key finds the first."""
+    id keep all their ids, ordered by a hash of the text, then the text, so that however many share an
+    id (or have none), several tasks write them."""
     spark = docs.sparkSession
     folder = folder or new_path(spark, "tokens")
     fs, at = filesystem(folder)
@@ -332,10 +377,9 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = 2, id_col: str
 
         def done():
             out.close()
-            keys = [k for k in out.keys if k is not None]
-            cols = [[part], [piece], [name], [len(out.keys)], [out.n], [min(keys, default=None)], [max(keys, default=None)]]
-            kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["part", "piece", "file", "n_docs", "n_tokens", "first_id", "last_id"])
+            cols = [[part], [piece], [name], [len(out.ends)], [out.n], [out.nulls], [min(out.keys, default=None)], [max(out.keys, default=None)]]
+            kinds = [pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 5]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["part", "piece", "file", "n_docs", "n_tokens", "n_null", "first_id", "last_id"])
 
         for b in slices(batches):
             for k, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
@@ -349,32 +393,66 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = 2, id_col: str
         if out is not None:
             yield done()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).repartitionByRange("id").sortWithinPartitions("id", "t")
-    return save(rows.mapInArrow(run, "part int, piece int, file string, n_docs long, n_tokens long, first_id long, last_id long"), "manifest")
-
-
-def read(manifest: DataFrame) -> DataFrame:
-    """(id, start, n_tokens, ids_crc32) of every document, from the files and through their index."""
-    order = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)
-    placed = manifest.select("file", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("base"))
-
-    def run(batches):
-        for b in slices(batches):
-            for file, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                r = Reader(file)
-                first = np.where(r.null, np.arange(len(r.keys)), r.find(r.keys))
-                if (r.keys[first] != r.keys).any() or (first < 0).any():
-                    raise ValueError(f"the index of {file} misses keys")
-                # rows of one key follow its first row, so each row lies as far from the found one as it does in the file
-                at = first + (np.arange(len(first)) - first)
-                starts = np.concatenate([[0], r.ends[:-1]])[at]
-                crc = [zlib.crc32(r.row(i).astype("<u4").tobytes()) for i in at.tolist()]
-                for s in range(0, len(at), 1 << 16):
-                    c = slice(s, s + (1 << 16))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(r.keys[c], mask=r.null[c]), pa.array(base + starts[c]), pa.array((r.ends[at] - starts)[c]), pa.array(crc[c], pa.int64())],
-                        ["id", "start", "n_tokens", "ids_crc32"],
-                    )
-
-    spread = placed.repartition(manifest.sparkSession.sparkContext.defaultParallelism * 2, "file")
-    return spread.mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
+    rows = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h", "t").select("id", "t")
+    return save(rows.mapInArrow(run, "part int, piece int, file string, n_docs long, n_tokens long, n_null long, first_id long, last_id long"), "manifest")
+
+
+def read(manifest: DataFrame, keys: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, start, n_tokens, ids_crc32) of every document whose id stands in keys, through the files' indexes.
+
+    Each distinct key is looked up once and gives all its documents; a null among the keys gives the
+    documents without an id; keys that no file holds give nothing.  Key ranges of 65,536 files are
+    broadcast at once (a few MB); a larger store is read in blocks of that many."""
+    order = Window.orderBy("part", "piece")  # a row a file
+    files = manifest.withColumn("base", F.sum("n_tokens").over(order) - F.col("n_tokens")).withColumn("k", F.row_number().over(order) - 1)
+    files = save(files.select("k", "file", "base", "n_null", "first_id", "last_id"), "files")
+    asked = save(keys.select(F.col(id_col).cast("long").alias("id")).distinct(), "asked")
+    spark = manifest.sparkSession
+    out = None
+    for at in range(0, max(files.count(), 1), BLOCK):
+        block = files.filter(F.col("k").between(at, at + BLOCK - 1)).orderBy("k").collect()
+        held = spark.sparkContext.broadcast([(r.file, r.base, r.n_null, r.first_id, r.last_id) for r in block])
+        part = _read(asked, held, spark.sparkContext.defaultParallelism * 4)
+        out = part if out is None else out.union(part)
+    return out
+
+
+def _read(asked: DataFrame, held, tasks: int) -> DataFrame:
+    def route(batches):
+        keyed = [k for k, f in enumerate(held.value) if f[3] is not None]
+        first, last = (np.array([held.value[k][c] for k in keyed], np.int64) for c in (3, 4))
+        at = np.array(keyed, np.int64)
+        none = np.array([k for k, f in enumerate(held.value) if f[2]], np.int64)
+        for b in batches:
+            null = np.asarray(b.column(0).is_null())
+            ids = b.column(0).drop_null().to_numpy()
+            low, high = np.searchsorted(last, ids), np.searchsorted(first, ids, "right")
+            n = np.maximum(high - low, 0)
+            row = np.repeat(np.arange(len(ids)), n)
+            step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            file = np.concatenate([at[low[row] + step], none if null.any() else none[:0]])
+            yield pa.RecordBatch.from_arrays([pa.array(file), pa.array(np.concatenate([ids[row], np.zeros(len(file) - len(row), np.int64)]), mask=np.arange(len(file)) >= len(row))], ["k", "id"])
+
+    def serve(batches):
+        mark, r = None, None
+        for b in batches:
+            file, ids, null = b.column(0).to_numpy(), b.column(1).fill_null(0).to_numpy(), np.asarray(b.column(1).is_null())
+            cuts = np.flatnonzero(np.diff(file, prepend=-1))
+            for lo, hi in zip(cuts, np.append(cuts[1:], len(file)), strict=True):
+                name, base = held.value[file[lo]][:2]
+                if mark != file[lo]:
+                    mark, r = file[lo], Reader(name)
+                own, none = ids[lo:hi], null[lo:hi]
+                first, n = r.find(own)
+                first, n = np.where(none, 0, first), np.where(none, r.nulls, n)
+                for s in range(0, len(own), 4096):
+                    f, c = first[s : s + 4096], n[s : s + 4096]
+                    row = np.repeat(f, c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                    who, empty = np.repeat(own[s : s + 4096], c), np.repeat(none[s : s + 4096], c)
+                    for t in range(0, len(row), 1 << 16):
+                        start, end, crc = r.checks(row[t : t + (1 << 16)])
+                        yield pa.RecordBatch.from_arrays([pa.array(who[t : t + (1 << 16)], mask=empty[t : t + (1 << 16)]), pa.array(base + start), pa.array(end - start), pa.array(crc)], ["id", "start", "n_tokens", "ids_crc32"])
+
+    routed = asked.mapInArrow(route, "k long, id long").repartition(tasks, "k").sortWithinPartitions("k", "id")
+    return routed.mapInArrow(serve, "id long, start long, n_tokens long, ids_crc32 long")

@@ -5,6 +5,7 @@ import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from latticore.llm import tokenstore, viterbi
@@ -54,22 +55,62 @@ def test_latin_words_signs_and_lines_are_the_library(encoder, library, text):
 
 
 def test_store_round_trip(spark, library):
-    rows = [(i * 7 - 20, t) for i, t in enumerate(TEXTS)] + [(None, "no id"), (1, "same"), (1, "id")]
+    rows = [(i * 7 - 20, t) for i, t in enumerate(TEXTS)] + [(None, "no id"), (None, None), (1, "same"), (1, "id"), (1, "same")]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, start int").repartition(3)
     manifest = tokenstore.write(df, most_ids=5000)
-    got = sorted(tokenstore.read(manifest).collect(), key=lambda r: r.start)
-    want, at = [], 0
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
-        x = np.array(library.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
-        want.append((i, at, len(x), zlib.crc32(x.tobytes())))
-        at += len(x)
-    assert [tuple(r) for r in got] == want
-    for m in manifest.collect():
-        r = tokenstore.Reader(m.file)
-        assert r.get(10**15) is None
-        if m.first_id is not None and m.first_id <= -20:
-            assert r.get(-20).tolist() == [2]
-    assert tokenstore.read(tokenstore.write(df.limit(0))).count() == 0
+    got = sorted(tokenstore.read(manifest, df).collect(), key=lambda r: r.start)
+    x = {t: np.array(library.encode(t or "", add_special_tokens=False).ids + [2], "<u4") for _, t in rows}
+    key = lambda i, n, c: (i is not None, i or 0, n, c)
+    assert sorted(key(r.id, r.n_tokens, r.ids_crc32) for r in got) == sorted(key(i, len(x[t]), zlib.crc32(x[t].tobytes())) for i, t in rows)
+    order = [(r.id is not None, r.id or 0) for r in got]
+    assert order == sorted(order) and [r.start for r in got] == list(np.cumsum([0] + [r.n_tokens for r in got])[:-1])
+    files = manifest.orderBy("part", "piece").collect()
+    store = tokenstore.Store([(m.file, m.first_id, m.last_id) for m in files])
+    assert len(files) > 1 and store.get(10**15) == []
+    for i in (-20, 1, 15, 36):
+        want = sorted(x[t].tolist() for k, t in rows if k == i)
+        assert sorted(a.tolist() for a in store.get(i)) == want
+    assert {r.id for r in tokenstore.read(manifest, df.filter("doc_id in (1, 15)")).collect()} == {1, 15}
+    assert tokenstore.read(manifest, df.limit(0)).count() == 0
+    assert tokenstore.read(tokenstore.write(df.limit(0)), df).count() == 0
+
+
+def test_rows_come_through_the_index(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"words of text number {i} " * (i % 5 + 1)) for i in range(60)], "doc_id long, text string").coalesce(1)
+    key = lambda rows: sorted(tuple(r) for r in rows)
+    manifest = tokenstore.write(df)
+    good = key(tokenstore.read(manifest, df).collect())
+    for m in manifest.collect():  # the first rows of two keys change places in the file's index
+        raw = bytearray(open(m.file.removeprefix("file:"), "rb").read())
+        n = int.from_bytes(raw[-16:-8], "little")
+        at = len(raw) - 16 - n
+        head_n = int.from_bytes(raw[at : at + 4], "little")
+        head = tokenstore.json.loads(raw[at + 4 : at + 4 + head_n])
+        at += 4 + head_n
+        for name, kind, count in head["arrays"]:
+            if name == "rows":
+                rows = np.frombuffer(bytes(raw[at : at + 8 * count]), kind).copy()
+                if count < 2:
+                    break
+                rows[[0, 1]] = rows[[1, 0]]
+                raw[at : at + 8 * count] = rows.tobytes()
+            at += np.dtype(kind).itemsize * count
+        open(m.file.removeprefix("file:"), "wb").write(raw)
+    assert key(tokenstore.read(manifest, df).collect()) != good
+
+
+@pytest.mark.parametrize("block, cache", [(1, 2), (1 << 16, 10**6)])
+def test_blocks_of_files_and_small_caches_change_nothing(spark, monkeypatch, block, cache):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    manifest = tokenstore.write(docs, most_ids=20000)
+    monkeypatch.setattr(tokenstore, "BLOCK", block)
+    monkeypatch.setattr(tokenstore, "CHUNK", 100 if block == 1 else 1 << 21)
+    got = {r.id: (r.n_tokens, r.ids_crc32) for r in tokenstore.read(manifest.limit(3), docs).collect()}
+    enc = tokenstore.Encoder(tokenstore.default_path(), 2)
+    monkeypatch.setattr(tokenstore, "CACHE", cache)
+    for r in docs.filter(F.col("doc_id").isin(list(got))).collect():
+        x = np.frombuffer(enc.encode([r.text])[0], enc.type).astype("<u4")
+        assert got[r.doc_id] == (len(x), zlib.crc32(x.tobytes()))
 
 
 def test_perfect_hash():
