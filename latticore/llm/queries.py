@@ -18,7 +18,7 @@ def op2_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size")
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
-    got = shard.interleave(docs, 8, carry=[size, crc])
+    got = shard.interleave(docs, 8, carry=[size, crc], text_col="text")
     return got.select(F.col("_id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -41,8 +41,9 @@ def op6_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    got = toxicity.predict(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    return got.withColumnRenamed("id", "doc_id")
+    labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
+    got = toxicity.predict(docs, toxicity.fit(docs, labels))
+    return got.withColumnRenamed("id", "doc_id").withColumn("held_out", held_out(F.col("doc_id")))
 
 
 def op4_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +56,8 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenstore.read(tokenstore.write(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+    docs = table(spark, sf_dir, "documents")
+    return tokenstore.read(tokenstore.write(docs), docs).withColumnRenamed("id", "doc_id")
 
 
 def op9_viterbi_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
