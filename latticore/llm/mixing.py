@@ -45,9 +45,10 @@ def targets(sizes: DataFrame, share: float = 1.5, most: int = 2) -> DataFrame:
     return w.select("s", "source_size", F.coalesce(F.least(F.col("level") * F.col("w"), (F.col("source_size") * most).cast("double")), (F.col("source_size") * most).cast("double")).alias("target"))
 
 
-def _keyed(id_col: str, source_col: str, seed: str) -> list:
-    """Source key s (null last) and hash h of a row: both follow from its own columns."""
-    h = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+def _keyed(id_col: str, text_col: str, source_col: str, seed: str) -> list:
+    """Source key s (null last) and hash h of a row: both follow from its own columns, the text
+    among them, so that rows without an id, or that share one, are told apart."""
+    h = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
     return [
         F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("a"), F.col(source_col).cast("string"))).alias("s"),
         F.conv(F.substring(h, 1, LEVELS * BITS // 4), 16, 10).cast("long").alias("h"),
@@ -92,8 +93,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     size is the number of words (0 for null and blank texts); copies is how often the row is taken
     and taken = copies * size, so no row exceeds twice its size and a rerun chooses the same rows.
     Rows of a source with no words have target 0 and are taken once: they cost nothing and nothing
-    speaks against them.  Rows that share an id share a hash and are taken alike."""
-    base = save(docs.select(F.col(id_col).alias("_id"), _size(text_col), *_keyed(id_col, source_col, seed)), "sizes")
+    speaks against them.  Rows alike in id, source and text are taken alike.  Other columns do not matter."""
+    base = save(docs.select(F.col(id_col).alias("_id"), _size(text_col), *_keyed(id_col, text_col, source_col, seed)), "sizes")
     return _apply(base, thresholds(base)).select("_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
@@ -108,7 +109,7 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     """The mixture itself: each row of docs as often as mix() takes it, with the columns of docs.
 
     The thresholds are a row a source, so whole texts are filtered where they are read."""
-    keys = _keyed(id_col, source_col, seed)
+    keys = _keyed(id_col, text_col, source_col, seed)
     limits = thresholds(save(docs.select(_size(text_col), *keys), "sizes"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     taken = _apply(docs.select(row, *keys), limits.select("s", "whole", "limit")).filter("copies > 0")
@@ -120,7 +121,7 @@ SQL = r"""
 WITH base AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 'a' || source END AS s,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS h
+         substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))), 1, 12) AS h
   FROM documents),
 sized AS (SELECT s, CAST(sum(size) AS BIGINT) AS source_size FROM base GROUP BY s),
 weighed AS (SELECT *, CAST([3, 1, 2][(row_number() OVER (ORDER BY s) - 1) % 3 + 1] AS BIGINT) AS w FROM sized),

@@ -1,6 +1,6 @@
 """Sharding by proportional stratified interleaving, with DataFrame operations only.
 
-Rows get a seeded shuffle key (md5 of seed and id).  Their rank r in this order within their
+Rows get a seeded shuffle key (md5 of seed, id and, where it is named, the text).  Their rank r in this order within their
 source (n rows) gives the fractional rank (2r - 1) / 2n; ordering all rows by it interleaves the
 sources in proportion, and cutting that order into equal runs gives shards that hold the mixture
 and row counts at most one apart.
@@ -19,15 +19,18 @@ from pyspark.sql import functions as F
 BUCKETS = 4096
 
 
-def interleave(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", source_col: str = "source", seed: str = "interleave", carry: list | None = None) -> DataFrame:
+def interleave(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", source_col: str = "source", seed: str = "interleave", carry: list | None = None, text_col: str | None = None) -> DataFrame:
     """carry columns plus _id, _source, shard (int) and slot (long, gapless from 0 in each shard).
 
     carry is a list of aliased columns taken along (default: none).  A null source is a source of
-    its own; null ids share one shuffle key; rows that tie in key and id keep any order, which
-    only rows alike in both can show.  An empty table gives no rows."""
+    its own.  With text_col, rows without an id, or that share one, have shuffle keys of their own;
+    without it they share one.  Rows that tie in key and id are ordered by the carried columns; what
+    ties in these too is alike.  An empty table gives no rows."""
     carry = carry or []
     names = [docs.select(c).columns[0] for c in carry]
-    h = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    ties = [n for n, kind in docs.select(*carry).dtypes if "map<" not in kind and kind != "variant"] if carry else []
+    told = [F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))] if text_col else []
+    h = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), *told))
     base = docs.select(
         F.col(id_col).alias("_id"),
         F.col(source_col).alias("_source"),
@@ -42,7 +45,7 @@ def interleave(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", source_
         (F.sum("_n").over(source.orderBy("_b")) - F.col("_n")).alias("_before"),
         F.sum("_n").over(source).alias("_of"),
     )
-    ranked = base.join(before, ["_s", "_b"]).withColumn("_r", F.col("_before") + F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_h", "_id", *names)))
+    ranked = base.join(before, ["_s", "_b"]).withColumn("_r", F.col("_before") + F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_h", "_id", *ties)))
     ranked = ranked.withColumn("_f", F.expr(f"((2 * _r - 1) * {BUCKETS}L) div (2 * _of)"))
     # rows of a source before interval j: those with (2r - 1) * BUCKETS <= 2 n j - 1
     sizes = base.groupBy("_s").agg(F.count("*").alias("_of"))
@@ -65,7 +68,7 @@ WITH crc AS (
   SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t),
 base AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS s,
-         md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h,
+         md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS h,
          CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size,
          [CAST('0x' || x AS BIGINT) FOR x IN regexp_extract_all(hex(encode(coalesce(text, ''))), '..')] AS bytes
   FROM documents),
