@@ -4,7 +4,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from latticore.llm import decontam, mixing, queries, shard, simhash
+from latticore.llm import decontam, langid, mixing, quality, queries, shard, toxicity, viterbi
+from test_jaccard import brute
 
 SF = "/root/testdata/sf0.001"
 pipeline = importlib.import_module("corpus_pipeline")
@@ -91,25 +92,78 @@ def test_held_out_accuracy(spark):
 
 
 def test_pipeline_against_brute_force(spark):
+    """Scores are the model's; all other stages again, plainly: Jaccard of all pairs, Myers of all items, the mixture by SQL."""
     got = pipeline.run(spark, SF)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    good = {r.doc_id: r for r in pipeline.keep_quality(spark, docs, SF).collect()}
-    fps = {i: simhash.fingerprint((r.text or "").encode()) for i, r in good.items()}
-    comp = {i: i for i in fps}
-    for _ in range(8):
-        for i in fps:
-            comp[i] = min(comp[j] for j in fps if (fps[i] ^ fps[j]).bit_count() <= 4)
-    items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
-    texts = {i: decontam.plain(r.text) for i, r in good.items()}
-    clean = {i for i in fps if comp[i] == i and not any(decontam.plain(b.text) in texts[i] for b in items)}
-    left = docs.filter(F.col("doc_id").isin(list(clean)))
-    want = {r._id: r.copies for r in mixing.mix(left).collect() if r.copies}
-    have = {r.doc_id: r["count"] for r in got.groupBy("doc_id").count().collect()}
-    assert have == want
+    good = sorted(pipeline.keep_quality(spark, docs, SF).collect(), key=lambda r: r.doc_id)
+    label = brute([r.text for r in good])
+    single = [r for k, r in enumerate(good) if label[k] == k]
+    items = [decontam.plain(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    held = lambda t, b: decontam.myers(b, t, int(0.1 * len(b)))[0] <= int(0.1 * len(b))
+    clean = [r for r in single if not any(held(decontam.plain(r.text), b) for b in items)]
+    assert len(clean) < len(single) < len(good) < docs.count()
+    c = con(documents=spark.createDataFrame(clean, docs.schema))
+    want = {i: n for i, n in c.sql(f"SELECT doc_id, taken // size FROM ({mixing.SQL.replace('{seed}', 'mix')}) WHERE taken > 0").fetchall()}
+    have = got.toPandas()
+    assert have.groupby("doc_id").size().to_dict() == want
     assert got.columns == [*docs.columns, "shard", "slot"]
+    sizes = have.groupby("shard").size()
+    assert sizes.max() - sizes.min() <= 1
+    for _, g in have.groupby("shard"):
+        assert sorted(g["slot"]) == list(range(len(g)))
+    for _, g in have.groupby("source"):
+        per = g.groupby("shard").size().reindex(range(8), fill_value=0)
+        assert per.max() - per.min() <= 2
 
 
 def test_pipeline_stages_on_odd_rows(spark, odd):
     for _, stage in pipeline.STAGES:
         assert stage(spark, odd, SF).columns[:5] == odd.columns
         assert stage(spark, odd.limit(0), SF).count() == 0
+
+
+def test_stages_on_clashing_columns(spark, odd):
+    more = odd.withColumns({c: F.lit(7) for c in ("shard", "slot", "score", "toxic", "_id", "s", "h", "id", "node", "row", "component_id", "a.b")})
+    for name, stage in pipeline.STAGES:
+        got = stage(spark, more, SF)
+        assert set(got.columns) == set(more.columns), name
+        assert got.filter("toxic <> 7 or `a.b` <> 7 or h <> 7").count() == 0
+    dealt = pipeline.deal_shards(spark, more, SF)
+    assert dealt.count() == len(ODD) and {r.shard for r in dealt.collect()} <= set(range(8))
+
+
+def test_operators_on_clashing_columns_and_repeated_rows(spark, odd):
+    more = odd.withColumns({c: F.lit(7) for c in ("score", "toxic", "predicted", "id", "n_tokens", "t", "_text", "fp", "lang_pred")})
+    labels = spark.createDataFrame([(5, 1, 0), (5, 1, 0), (3, 0, 1), (3, 0, 1), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    chain = toxicity.fit(more, labels)
+    assert toxicity.predict(more, chain).columns == ["id", "p_low_quality", "p_toxic", "score", "predicted"]
+    got = quality.score(more, quality.fit(more, labels))
+    assert got.count() == len(ODD) and got.filter("score is null").count() == 0 and got.filter("toxic = 7").count() == len(ODD)
+    assert langid.predict(more, langid.fit(more)).count() == len(ODD)
+    counts = [(r.id, r.n_tokens) for r in viterbi.token_counts(more).collect()]
+    assert len(counts) == len(ODD) and len({n for i, n in counts if i == 3}) == 1
+
+
+def test_labels_of_one_class_keep_the_schema(spark, odd):
+    for labels in ([(5, 1, 0)], [(5, 0, 1)], [(5, None, None)]):
+        chain = toxicity.fit(odd, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+        got = toxicity.predict(odd, chain)
+        assert got.columns == ["id", "p_low_quality", "p_toxic", "score", "predicted"] and got.filter("predicted = 0").count() == len(ODD)
+
+
+def test_mixture_of_null_and_shared_ids(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for ids in (F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")), F.lit(1).cast("long")):
+        got = mixing.mix(docs.withColumn("doc_id", ids).withColumn("_id", F.lit(0))).toPandas()
+        for _, g in got.groupby("target"):
+            assert abs(g["taken"].sum() - g["target"].iloc[0]) <= g["size"].max()
+        dealt = shard.interleave(docs.withColumn("doc_id", ids), 8, text_col="text").groupBy("shard").count().collect()
+        assert max(r["count"] for r in dealt) - min(r["count"] for r in dealt) <= 1
+
+
+@pytest.mark.parametrize("small", [0, 20_000])
+def test_thresholds_by_broadcast_or_by_join(spark, monkeypatch, small):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    monkeypatch.setattr(mixing, "SMALL", small)
+    assert rows(mixing.mix(docs).select("_id", "copies")) == rows(mixing.mix(docs).select("_id", "copies"))
+    assert mixing.mix(docs).agg(F.sum("taken")).first()[0] > 0
