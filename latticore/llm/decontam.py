@@ -27,7 +27,8 @@ BLOCK = 1 << 25  # characters of items in a block
 ANCHOR = 8
 HITS = 4096  # hits that are verified at once
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_NONE = np.uint32(0xFFFFFFFF)
+_NONE, _END = np.uint32(0xFFFFFFFF), np.uint32(0xFFFFFFFE)
+CHARS = 1 << 19  # characters of texts that are searched together
 
 
 def plain(text: str | None) -> str:
@@ -134,8 +135,8 @@ class Matcher:
             table[(h >> np.uint64(64 - bits)).astype(np.int64)] = True
             self.anchors[size] = (h[order], item[order], leaf[order], table, np.uint64(64 - bits))
 
-    def hits(self, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, piece, where the item would start) of every anchor that stands in the text."""
+    def hits(self, cp: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(item, piece, where the item would start, where the anchor stands) of every anchor in the text."""
         out = []
         for size, (known, item, leaf, table, shift) in self.anchors.items():
             h = windows(cp, size)
@@ -146,9 +147,10 @@ class Matcher:
             n = high - low
             entry = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             which, piece = item[entry], leaf[entry]
-            out.append((which, piece, np.repeat(pos, n) - piece * self.size[which] // (self.budget[which] + 1)))
+            at = np.repeat(pos, n)
+            out.append((which, piece, at - piece * self.size[which] // (self.budget[which] + 1), at))
         if not out:
-            return tuple(np.zeros(0, np.int64) for _ in range(3))
+            return tuple(np.zeros(0, np.int64) for _ in range(4))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def near(self, cp: np.ndarray, item: np.ndarray, piece: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -182,45 +184,62 @@ class Matcher:
 
     def find(self, text: str | None) -> list[tuple[int, int, int]]:
         """(item_id, distance, end in the plain text) of every item that the text holds."""
-        t = plain(text)
-        if not self.items or not t:
-            return []
-        cp = codes(t)
-        item, piece, start = self.hits(cp)
+        return self.find_all([text])[0]
+
+    def find_all(self, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
+        """find() of each text; hits of many texts (about CHARS characters) are verified together."""
+        out: list[list[tuple[int, int, int]]] = []
+        held: list[str] = []
+        size = 0
+        for t in map(plain, texts):
+            held.append(t)
+            size += len(t)
+            if size >= CHARS:
+                out += self._find(held)
+                held, size = [], 0
+        return out + self._find(held)
+
+    def _find(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
+        out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        if not self.items or not any(texts):
+            return out
+        # one array, a character that nothing has after each text
+        cp = np.concatenate([x for t in texts for x in (codes(t), [_END])]).astype(np.uint32)
+        first = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+        item, piece, start, anchor = self.hits(cp)
         if not len(item):
-            return []
+            return out
         keep = self.near(cp, item, piece, start)
-        starts: dict[int, set[int]] = {}
-        for n, s in zip(item[keep].tolist(), start[keep].tolist(), strict=True):
-            starts.setdefault(n, set()).add(s)
-        out = []
-        for n, own in starts.items():
-            item_id, pattern, k = self.items[n]
-            m = len(pattern)
-            ordered = sorted(own)
-            whole = lambda s: k or ((s == 0 or t[s - 1] == " ") and (s + m == len(t) or t[s + m] == " "))
-            exact = next((s for s in ordered if s >= 0 and t.startswith(pattern, s) and whole(s)), None)
-            if exact is not None:
-                out.append((item_id, 0, exact + m))
-                continue
-            if not k:
-                continue
-            # windows of starts that lie within the error budget of each other are searched as one
-            best = (k + 1, -1)
-            i = 0
-            while i < len(ordered):
-                j = i
-                while j + 1 < len(ordered) and ordered[j + 1] - ordered[j] <= 2 * k:
-                    j += 1
-                lo, hi = max(0, ordered[i] - k), min(len(t), ordered[j] + m + k)
-                if hi - lo >= m - k:
-                    d, end = myers(pattern, t[lo:hi], k)
-                    best = min(best, (d, lo + end))
-                i = j + 1
-            if best[0] <= k:
-                out.append((item_id, *best))
+        doc = np.searchsorted(first, anchor[keep], "right") - 1
+        found: dict[tuple[int, int], set[int]] = {}
+        for k, n, s in zip(doc.tolist(), item[keep].tolist(), (start[keep] - first[doc]).tolist(), strict=True):
+            found.setdefault((k, n), set()).add(s)
+        for (k, n), starts in found.items():
+            if hit := self._verify(texts[k], n, sorted(starts)):
+                out[k].append(hit)
         return out
 
+    def _verify(self, t: str, n: int, starts: list[int]) -> tuple[int, int, int] | None:
+        item_id, pattern, k = self.items[n]
+        m = len(pattern)
+        whole = lambda s: k or ((s == 0 or t[s - 1] == " ") and (s + m == len(t) or t[s + m] == " "))
+        exact = next((s for s in starts if s >= 0 and t.startswith(pattern, s) and whole(s)), None)
+        if exact is not None:
+            return item_id, 0, exact + m
+        best = (k + 1, -1)
+        i = 0
+        while k and i < len(starts):
+            # windows of starts that lie within the error budget of each other are searched as one
+            j = i
+            while j + 1 < len(starts) and starts[j + 1] - starts[j] <= 2 * k:
+                j += 1
+            lo, hi = max(0, starts[i] - k), min(len(t), starts[j] + m + k)
+            if hi - lo >= m - k:
+                d, end = myers(pattern, t[lo:hi], k)
+                best = min(best, (d, lo + end))
+            i = j + 1
+        return (item_id, *best) if best[0] <= k else None
+
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, item_id, distance, end_at): one row for each document row and item that it holds.
@@ -240,7 +259,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: s
         def run(batches, held=held):
             m = Matcher(held.value, rate)
             for b in slices(batches):
-                rows = [(i, *x) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in m.find(t)]
+                rows = [(i, *x) for i, own in zip(b.column(0).to_pylist(), m.find_all(b.column(1).to_pylist()), strict=True) for x in own]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["id", "item_id", "distance", "end_at"])
 
         part = source.mapInArrow(run, "id long, item_id long, distance int, end_at int")
