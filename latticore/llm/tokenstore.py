@@ -23,6 +23,7 @@ import json
 import re
 import zlib
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +40,11 @@ CACHE = 1_000_000  # pieces a worker remembers; beyond, it starts anew
 #: A space before white space or the end: there the plain cut would not be the tokenizer's.
 _WHITE = re.compile(r"\s")
 _ODD = re.compile(r" (?=\s|$)")
-#: Letters of the Latin blocks, then signs of ASCII (no apostrophe): byte-level BPE cuts just there.
-_LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Letters of the Latin blocks, and signs of ASCII (no apostrophe): byte-level BPE cuts between them.
+_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
+_SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 GAMMA = 2.0
+GROUP = 48  # words that are learned in one text
 
 
 class PerfectHash:
@@ -263,26 +266,29 @@ class Encoder:
                 self.spaced[p] = end.join([self.spaced[c[0]], *[self.known[x] for x in c[1:]]])
             new = [p for p in new if p not in self.spaced]
         heads, signs, signed, left = set(), set(), [], []
+        latin = _LATIN.fullmatch
         for p in new:
-            if m := _LATIN.fullmatch(p):
-                word, sign = m.groups()
+            word = p.rstrip(_SIGNS)
+            if word.isalpha() and (word.isascii() or latin(word)):
                 heads.add(word)
-                if sign:
+                if len(word) != len(p):
+                    sign = p[len(word) :]
                     signs.add(sign)
                     signed += p, word, sign  # flat: no object for each
             else:
                 left.append(p)
         heads = list(heads.difference(self.spaced))
         self._learn(self.known, signs, "")
-        for at in range(0, len(heads), 4096):
-            part = heads[at : at + 4096]
-            groups = [part[i : i + 256] for i in range(0, len(part), 256)]
-            joined = [line.join(space + (w if w.isascii() else w.encode().decode("latin-1").translate(table)) for w in g) for g in groups]
-            for g, e in zip(groups, plain.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, self.type)
-                raw, size = ids.tobytes(), ids.itemsize
-                ends = (np.flatnonzero(ids == self.line) * size).tolist()
-                self.spaced.update(zip(g, [raw[a:b] for a, b in zip([0, *(x + size for x in ends)], [*ends, len(raw)], strict=True)], strict=True))
+        for at in range(0, len(heads), 16384):
+            part = heads[at : at + 16384]
+            turned = [space + w if w.isascii() else space + w.encode().decode("latin-1").translate(table) for w in part]
+            # small groups, as the library's cost grows with a text; a line end after every word
+            joined = [line.join(turned[i : i + GROUP]) + line for i in range(0, len(turned), GROUP)]
+            ids = np.fromiter(chain.from_iterable(e.ids for e in plain.encode_batch_fast(joined, add_special_tokens=False)), self.type)
+            raw, size = ids.tobytes(), ids.itemsize
+            ends = np.flatnonzero(ids == self.line) * size
+            starts = np.concatenate([[0], ends[:-1] + size])
+            self.spaced.update(zip(part, map(raw.__getitem__, map(slice, starts.tolist(), ends.tolist())), strict=True))
         for p, word, sign in zip(signed[::3], signed[1::3], signed[2::3], strict=True):
             self.spaced[p] = self.spaced[word] + self.known[sign]
         return left
@@ -334,12 +340,51 @@ class Encoder:
         for known in (self.known, self.spaced):
             if len(known) > CACHE:
                 known.clear()
-        odd = [bool(t) and ("<|" in t or bool(_ODD.search(t))) for t in texts]
-        cut = [self.pieces(t) if o else t.split(" ") if t else [] for t, o in zip(texts, odd, strict=True)]
-        self._learn(self.known, {p for c, o in zip(cut, odd, strict=True) for p in (c if o else c[:1])}, "")
-        self._learn(self.spaced, set().union(*(c[1:] for c, o in zip(cut, odd, strict=True) if not o)), " ")
-        first, rest = self.known.__getitem__, self.spaced.__getitem__
-        return [b"".join(map(first, c if o else c[:1])) + (b"" if o else b"".join(map(rest, c[1:]))) + self.end for c, o in zip(cut, odd, strict=True)]
+        out: list[bytes] = [self.end] * len(texts)
+        odd = [k for k, t in enumerate(texts) if t and ("<|" in t or _ODD.search(t))]
+        cut = [self.pieces(texts[k]) for k in odd]
+        self._learn(self.known, set().union(*cut), "")
+        for k, pieces in zip(odd, cut, strict=True):
+            out[k] = b"".join(map(self.known.__getitem__, pieces)) + self.end
+        rest = set(odd)
+        rest = [k for k, t in enumerate(texts) if t and k not in rest]
+        if rest:
+            for k, ids in zip(rest, self._encode_plain([texts[k] for k in rest]), strict=True):
+                out[k] = ids
+        return out
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        """Texts in which a plain cut at spaces is the tokenizer's: Arrow cuts them and finds the distinct
+        pieces, only these are looked up, and one gather lays out the ids of all texts."""
+        import pyarrow.compute as pc
+
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        ends = np.asarray(lists.offsets)[1:].astype(np.int64)
+        heads = np.concatenate([[0], ends[:-1]])
+        coded = lists.values.dictionary_encode()
+        distinct, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        first = [distinct[k] for k in index[heads].tolist()]
+        self._learn(self.known, set(first), "")
+        inner = np.zeros(len(distinct), bool)
+        follows = np.ones(len(index), bool)
+        follows[heads] = False
+        inner[index[follows]] = True
+        missing = {p for p, on, ids in zip(distinct, inner.tolist(), map(self.spaced.get, distinct), strict=True) if on and ids is None}
+        if missing:
+            self._learn(self.spaced, missing, " ")
+        pieces = [self.spaced[p] if on else b"" for p, on in zip(distinct, inner.tolist(), strict=True)]
+        pieces += map(self.known.__getitem__, first)
+        pieces.append(self.end)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.type.itemsize
+        start = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(pieces), self.type)
+        index[heads] = len(distinct) + np.arange(len(texts))
+        index = np.insert(index, ends, len(pieces) - 1)  # the end id after each text's last piece
+        n = size[index]
+        upto = np.cumsum(n)
+        ids = flat[np.repeat(start[index] - (upto - n), n) + np.arange(upto[-1])].tobytes()
+        last = upto[ends + np.arange(len(texts))] * self.type.itemsize
+        return [ids[a:b] for a, b in zip([0, *last[:-1].tolist()], last.tolist(), strict=True)]
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -381,7 +426,7 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = 2, id_col: str
             kinds = [pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 5]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["part", "piece", "file", "n_docs", "n_tokens", "n_null", "first_id", "last_id"])
 
-        for b in slices(batches):
+        for b in slices(batches, 4000):
             for k, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
                 if out is None:
                     name = f"{folder}/shard-{part:06d}-{piece:04d}-{uuid.uuid4().hex[:10]}.bin"
