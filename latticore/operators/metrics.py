@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import band
+from ..schema import DRIVABLE, drive
 
 
 def confusion(points: DataFrame, keys: tuple[str, ...] = ("band",)) -> DataFrame:
@@ -39,17 +40,43 @@ def moving_iou(points: DataFrame, keys: tuple[str, ...] = ("band",)) -> DataFram
     return points.filter("label >= 0").groupBy(*keys).agg((F.count_if(p & g) / F.nullif(F.count_if(p | g), F.lit(0))).alias("iou"), F.count("*").alias("n"))
 
 
-def latency(times: DataFrame, order: str = "frame", value: str = "ms") -> DataFrame:
-    """p50, p95, p99 (linear interpolation), mean and fps without the first two frames where there are over three."""
-    w = Window.orderBy(order)
-    kept = times.withColumn("_r", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy())).filter("_n <= 3 or _r > 2")
-    q = lambda p: F.percentile(value, F.lit(p))
-    return kept.agg(q(0.5).alias("p50"), q(0.95).alias("p95"), q(0.99).alias("p99"), F.avg(value).alias("mean"), (1000 / F.avg(value)).alias("fps"))
+def warm(times: DataFrame, order: str = "frame", skip: int = 2) -> DataFrame:
+    """times without the first `skip` rows by `order` (which tells rows apart), where there are more than one beyond them.
 
+    Only the first rows are sorted out; the table is not."""
+    head = times.select(F.col(order).alias("_o")).orderBy("_o").limit(skip + 2).agg(F.sort_array(F.collect_list("_o")).alias("_h"))
+    cut = head.select(F.when(F.size("_h") > skip + 1, F.get("_h", F.lit(skip - 1))).alias("_cut"))  # one row
+    return times.crossJoin(F.broadcast(cut)).filter(F.col("_cut").isNull() | (F.col(order) > F.col("_cut"))).drop("_cut")
 
-def rolling(times: DataFrame, keys: tuple[str, ...], order: str, value: str, width: int = 200) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(1 - width, 0)
-    return times.withColumn("p50", F.percentile(value, F.lit(0.5)).over(w)).withColumn("p95", F.percentile(value, F.lit(0.95)).over(w)).withColumn("mean", F.avg(value).over(w))
+
+def latency(times: DataFrame, order: str = "frame", value: str = "ms", accuracy: int | None = None) -> DataFrame:
+    """p50, p95, p99 (linear interpolation), mean and fps without the first two frames where there are over three.
+
+    Exact percentiles hold every distinct value; with `accuracy` they err by 1 / accuracy of the rows at most and hold little."""
+    q = lambda p: F.percentile(value, F.lit(p)) if accuracy is None else F.percentile_approx(value, p, accuracy)
+    return warm(times, order).agg(q(0.5).alias("p50"), q(0.95).alias("p95"), q(0.99).alias("p99"), F.avg(value).alias("mean"), (1000 / F.nullif(F.avg(value), F.lit(0.0))).alias("fps"))
+
+
+def stage_means(times: DataFrame, stage: str, order: list[str], value: str, skip: int = 2) -> DataFrame:
+    """Mean of each stage without its first `skip` rows: (stage, mean, n)."""
+    w = Window.partitionBy(stage).orderBy(*order)
+    return times.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") > skip).groupBy(F.col(stage).alias("stage")).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
+
+
+def rolling(times: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], value: str, width: int = 200, skip: int = 0) -> DataFrame:
+    """times with p50, p95, p99, mean and fps of the last `width` rows of the key up to each, its first `skip` rows left out."""
+    by = Window.partitionBy(*keys).orderBy(*order)
+    kept = times if not skip else times.withColumn("_r", F.row_number().over(by)).filter(F.col("_r") > skip).drop("_r")
+    w = by.rowsBetween(1 - width, 0)
+    q = lambda p: F.percentile(value, F.lit(p)).over(w)
+    mean = F.avg(value).over(w)
+    return kept.withColumns({"p50": q(0.5), "p95": q(0.95), "p99": q(0.99), "mean": mean, "fps": 1000 / F.nullif(mean, F.lit(0.0))})
+
+
+def recent(times: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], n: int = 100) -> DataFrame:
+    """The last n rows of each key, for a display's history."""
+    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    return times.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 
 
 def top_confusions(conf: DataFrame, k: int = 2) -> DataFrame:
@@ -64,7 +91,7 @@ def precision_recall(counts: DataFrame) -> DataFrame:
 
 
 def voxels(points: DataFrame, size: float = 0.05, keys: tuple[str, ...] = ("frame",)) -> DataFrame:
-    v = F.struct(*[F.floor(F.col(c) / F.lit(size)) for c in ("wx", "wy", "z")])
+    v = F.struct(*[F.floor(F.col(c) / F.lit(size)) for c in ("wx", "wy", "wz" if "wz" in points.columns else "z")])
     return points.groupBy(*keys).agg(F.countDistinct(v).alias("voxels")).withColumn("bytes", F.col("voxels") * 10)
 
 
@@ -73,3 +100,55 @@ def diagnostics(false_detections: DataFrame, size: str = "n_cells") -> DataFrame
     share = lambda c: F.avg(F.col(c).cast("int")).alias(c if c == "other_class" else "fragments")
     q = [F.percentile(size, F.lit(p)).alias(n) for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))]
     return false_detections.groupBy("cls").agg(F.count("*").alias("n"), share("fragment"), share("other_class"), *q)
+
+
+def evaluation(points: DataFrame) -> DataFrame:
+    """points(x, y, gt, pred, moving, gt_moving) with a truth -> one row a band, and one (band null) for all points:
+    points, moving ones' tp and union, and confusion counts as an array of structs.  Unlike moving_iou(), the total has no limit of range."""
+    own = points.filter("gt >= 0").withColumn("band", band(F.hypot("x", "y")))
+    # a point beyond the last band has a null band already: it counts in the total once
+    both = own.filter("band is not null").withColumn("_b", F.col("band")).unionByName(own.withColumn("_b", F.lit(None).cast("int")))
+    p, g = F.col("moving"), F.col("gt_moving")
+    cells = both.groupBy(F.col("_b").alias("band"), "gt", "pred").agg(F.count("*").alias("n"), F.count_if(p & g).alias("tp"), F.count_if(p | g).alias("either"))
+    return cells.groupBy("band").agg(F.sum("n").alias("n"), F.sum("tp").alias("moving_tp"), F.sum("either").alias("moving_either"), F.array_sort(F.collect_list(F.struct("gt", "pred", "n"))).alias("confusion"))
+
+
+def flag_rate(cells: DataFrame, frames: DataFrame, reach: float = 10.0, bit: int = 8) -> DataFrame:
+    """cells(tier, ci, cj, eff_cls, age, flags) of derive(): drivable cells of the finest tier within `reach` seen in the last frame, and the share that carries the flag."""
+    own = near_ego(cells, frames, reach).filter(F.col("eff_cls").isin(*DRIVABLE) & (F.col("age") == 0))
+    hit = F.col("flags").bitwiseAND(bit) > 0
+    return own.agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"), (F.count_if(hit) / F.nullif(F.count("*"), F.lit(0))).alias("rate"))
+
+
+def near_ego(cells: DataFrame, frames: DataFrame, reach: float) -> DataFrame:
+    """Cells of the finest tier, with their centres cx, cy, nearer than `reach` to the last frame's ego position."""
+    on = drive(cells)
+    last = frames.groupBy(*on).agg(F.max(F.struct("frame", "ex", "ey")).alias("_e"))
+    own = cells.filter("tier = 0").withColumn("cx", (F.col("ci") + 0.5) * 0.05).withColumn("cy", (F.col("cj") + 0.5) * 0.05)
+    own = own.join(last, on) if on else own.crossJoin(F.broadcast(last))  # one row
+    dx, dy = F.col("cx") - F.col("_e.ex"), F.col("cy") - F.col("_e.ey")
+    return own.filter(dx * dx + dy * dy < reach * reach).drop("_e")
+
+
+def recall(targets: DataFrame, flagged: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """targets(by, ci, cj) that lie within two moves along the axes of flagged(ci, cj) cells: n, hits and their share."""
+    from .derive import dilate
+
+    on = [*drive(targets), "ci", "cj"]
+    near = dilate(flagged.select(*on)).withColumn("_hit", F.lit(True))
+    t = targets.join(near, on, "left")
+    return t.groupBy(*by).agg(F.count("*").alias("n"), F.count_if("_hit").alias("hits"), (F.count_if("_hit") / F.nullif(F.count("*"), F.lit(0))).alias("recall"))
+
+
+def in_holes(cells: DataFrame, holes: DataFrame, side: float = 2.0, share: float = 0.7) -> DataFrame:
+    """cells(cx, cy, ...) within `share` of the radius of holes(hole, hx, hy, r), once a hole: an equi-join on a lattice of `side` metres, then the distance."""
+    span = lambda c: F.sequence(F.floor((F.col(c) - F.col("r")) / side), F.floor((F.col(c) + F.col("r")) / side))
+    h = holes.withColumn("_i", F.explode(span("hx"))).withColumn("_j", F.explode(span("hy")))
+    c = cells.withColumn("_i", F.floor(F.col("cx") / side)).withColumn("_j", F.floor(F.col("cy") / side))
+    dx, dy = F.col("cx") - F.col("hx"), F.col("cy") - F.col("hy")
+    return c.join(h, ["_i", "_j"]).filter(dx * dx + dy * dy < (F.col("r") * share) * (F.col("r") * share)).drop("_i", "_j")
+
+
+def on_curb(cells: DataFrame, at: float = 7.0, cross: float = 0.0, clear: float = 8.0, cell: float = 0.05) -> DataFrame:
+    """cells(cx, cy) within a cell of a curb, which runs `at` metres each side of the x axis and is broken around the crossing street."""
+    return cells.filter((F.abs(F.abs(F.col("cy")) - at) < cell) & (F.abs(F.col("cx") - cross) > clear))

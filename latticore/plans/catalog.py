@@ -15,7 +15,7 @@ from ..functions import scalar as S
 from ..operators import binning as B
 from ..operators import derive as D
 from ..operators import fusion, metrics, objects, rangeimage, training
-from ..schema import DRIVABLE, MIN_AREA, tiers
+from ..schema import AREA_SWEEP, DRIVABLE, MIN_AREA, tiers
 from ..sources import nuscenes, sweeps
 from ..streaming import live
 
@@ -73,9 +73,9 @@ STATS = f""",
 stats AS (
   SELECT frame, tier, ci, cj, count(*) AS n_pts, count(*) FILTER (NOT moving) AS n_static, count(*) FILTER (NOT moving AND cls < 4) AS n_ground,
     count(*) FILTER (moving) AS n_dyn, count(*) FILTER (moving AND cls = 8) AS n_dyn_person,
-    min(z) FILTER (NOT moving) AS z_min, max(z) FILTER (NOT moving) AS z_max, avg(z) FILTER (NOT moving AND cls < 4) AS ground,
-    CASE WHEN count(*) FILTER (NOT moving AND cls < 4) > 1 THEN stddev_pop(z) FILTER (NOT moving AND cls < 4) END AS rough,
-    min(z) FILTER (NOT moving AND cls >= 4) AS zmin_ng, {_MASS}
+    min(wz) FILTER (NOT moving) AS z_min, max(wz) FILTER (NOT moving) AS z_max, avg(wz) FILTER (NOT moving AND cls < 4) AS ground,
+    CASE WHEN count(*) FILTER (NOT moving AND cls < 4) > 1 THEN stddev_pop(wz) FILTER (NOT moving AND cls < 4) END AS rough,
+    min(wz) FILTER (NOT moving AND cls >= 4) AS zmin_ng, {_MASS}
   FROM placed GROUP BY frame, tier, ci, cj)"""
 _STAT_COLS = ["frame", "tier", "ci", "cj", "n_pts", "n_static", "n_ground", "n_dyn", "n_dyn_person", "z_min", "z_max"]
 _BIN_SQL = STATS + "\nSELECT " + ", ".join(_STAT_COLS) + ", round(ground, 9) AS ground, round(rough, 7) AS rough, zmin_ng, " + ", ".join(f"ps{c}, pa{c}" for c in range(9)) + " FROM stats"
@@ -114,11 +114,12 @@ def mip_up_check(spark, sf):
     return B.nesting(_stats(spark, sf), _origins(spark))
 
 
-@query(P + _placed() + STATS + """
+@query(P + _placed() + STATS + """,
+win AS (SELECT o.frame, o.tier, count(*) AS n_in FROM wp p JOIN org o ON o.frame = p.frame AND p.wx >= o.oi * o.cell AND p.wx < o.oi * o.cell + o.n * o.cell AND p.wy >= o.oj * o.cell AND p.wy < o.oj * o.cell + o.n * o.cell GROUP BY ALL)
 SELECT tier, CAST(sum(n_in) AS BIGINT) AS n_in, CAST(sum(binned) AS BIGINT) AS binned, CAST(sum(n_in) - sum(binned) AS BIGINT) AS lost
-FROM (SELECT frame, tier, count(*) AS n_in FROM placed GROUP BY ALL) JOIN (SELECT frame, tier, sum(n_pts) AS binned FROM stats GROUP BY ALL) USING (frame, tier) GROUP BY tier""")
+FROM win JOIN (SELECT frame, tier, sum(n_pts) AS binned FROM stats GROUP BY ALL) USING (frame, tier) GROUP BY tier""")
 def points_lost(spark, sf):
-    n_in = B.assign(_world(spark, sf)).groupBy("frame", "tier").agg(F.count("*").alias("n_in"))
+    n_in = B.in_window(_world(spark, sf), _origins(spark))
     binned = _stats(spark, sf).groupBy("frame", "tier").agg(F.sum("n_pts").alias("binned"))
     return n_in.join(binned, ["frame", "tier"]).groupBy("tier").agg(F.sum("n_in").alias("n_in"), F.sum("binned").alias("binned")).withColumn("lost", F.col("n_in") - F.col("binned"))
 
@@ -135,34 +136,58 @@ def range_image_nearest(spark, sf):
     return px.select("frame", "row", "col", *_r(9, "range"), "pid")
 
 
-@query(P + """,
-own AS (SELECT frame, ring % 60 AS row, avg(degrees(atan2(z, sqrt(x * x + y * y)))) AS own FROM pts WHERE ring % 5 <> 3 GROUP BY ALL),
+_ROWS = """,
+own AS (SELECT frame, ring AS row, avg(degrees(atan2(z, sqrt(x * x + y * y)))) AS own FROM pts GROUP BY ALL),
 base AS (SELECT fr.frame, t.r AS row FROM (SELECT DISTINCT frame FROM own) fr, range(64) t(r)),
 grid AS (SELECT b.frame, b.row, o.own FROM base b LEFT JOIN own o ON o.frame = b.frame AND o.row = b.row),
-ab AS (SELECT g.frame, g.row, g.own, (SELECT max(o.row) FROM own o WHERE o.frame = g.frame AND o.row <= g.row) AS a, (SELECT min(o.row) FROM own o WHERE o.frame = g.frame AND o.row >= g.row) AS b FROM grid g)
-SELECT g.frame, CAST(g.row AS INTEGER) AS row, round(CASE WHEN g.own IS NOT NULL THEN g.own WHEN a IS NULL THEN q.own WHEN b IS NULL THEN p.own ELSE p.own + (g.row - a) / CAST(b - a AS DOUBLE) * (q.own - p.own) END, 7) AS elev, g.own IS NULL AS filled
-FROM ab g LEFT JOIN own p ON p.frame = g.frame AND p.row = a LEFT JOIN own q ON q.frame = g.frame AND q.row = b""")
+ab AS (SELECT g.frame, g.row, g.own, (SELECT max(o.row) FROM own o WHERE o.frame = g.frame AND o.row <= g.row) AS a, (SELECT min(o.row) FROM own o WHERE o.frame = g.frame AND o.row >= g.row) AS b FROM grid g),
+rowel AS (
+  SELECT g.frame, CAST(g.row AS INTEGER) AS row, CASE WHEN g.own IS NOT NULL THEN g.own WHEN a IS NULL THEN q.own WHEN b IS NULL THEN p.own ELSE p.own + (g.row - a) / CAST(b - a AS DOUBLE) * (q.own - p.own) END AS elev, g.own IS NULL AS filled
+  FROM ab g LEFT JOIN own p ON p.frame = g.frame AND p.row = a LEFT JOIN own q ON q.frame = g.frame AND q.row = b)"""
+
+
+@query(P + _ROWS + " SELECT frame, row, round(elev, 7) AS elev, filled FROM rowel")
 def row_elevation(spark, sf):
-    pts = sweeps.pseudo_points(spark, sf).filter("ring % 5 <> 3").withColumn("ring", F.col("ring") % 60)
-    return rangeimage.row_elevation(pts).select("frame", "row", *_r(7, "elev"), "filled")
+    return rangeimage.row_elevation(sweeps.pseudo_points(spark, sf)).select("frame", "row", *_r(7, "elev"), "filled")
+
+
+_EARLIER = _ROWS + """,
+moved AS (
+  SELECT f.frame, k.lag, p.wx - f.ex AS dx, p.wy - f.ey AS dy, p.wz - 0e0 AS dz, f.c, f.s FROM wp p, (VALUES (1), (2)) k(lag), frames f WHERE f.frame = p.frame + k.lag),
+seenfrom AS (SELECT frame, lag, c * dx + s * dy + 0e0 * dz AS x, (-s) * dx + c * dy + 0e0 * dz AS y, 0e0 * dx + 0e0 * dy + 1e0 * dz AS z FROM moved),
+tables AS (SELECT frame, list(elev ORDER BY row) AS t FROM rowel GROUP BY frame),
+rated AS (SELECT m.*, degrees(atan2(m.z, sqrt(m.x * m.x + m.y * m.y))) AS e, t.t FROM seenfrom m JOIN tables t USING (frame)),
+placedrow AS (SELECT *, len(list_filter(t, lambda v: v > e)) AS n, abs(t[1] - t[64]) / 63 / 2 AS half FROM rated),
+rowed AS (
+  SELECT *, CASE WHEN e > t[1] + half OR e < t[64] - half THEN -1 WHEN e >= t[1] THEN 0 WHEN e <= t[64] THEN 63 ELSE CAST(round_even(n - 1 + (t[n] - e) / nullif(t[n] - t[n + 1], 0), 0) AS INTEGER) END AS row,
+    CAST(((CAST(round_even((18e1 - degrees(atan2(y, x))) / 36e1 * 1024, 0) AS BIGINT) % 1024) + 1024) % 1024 AS INTEGER) AS col, sqrt(x * x + y * y + z * z) AS range FROM placedrow),
+was AS (SELECT frame, lag, row, col, min(range) AS range FROM rowed WHERE row BETWEEN 0 AND 63 AND range > 0.5 GROUP BY ALL)"""
 
 
-@query(P + _PIX + """
+@query(P + _EARLIER + " SELECT frame, lag, row, col, round(range, 7) AS range FROM was")
+def earlier_images(spark, sf):
+    pts = _world(spark, sf)
+    before = rangeimage.earlier(pts, sweeps.pseudo_frames(spark)).join(rangeimage.row_tables(pts), "frame")
+    before = rangeimage.project(before, rangeimage.row_of(rangeimage.elevation(), F.col("table"), 64))
+    return before.groupBy("frame", "lag", "row", "col").agg(F.round(F.min("range"), 7).alias("range"))
+
+
+@query(P + _PIX + _EARLIER + """
 SELECT p.frame, p.row, p.col, p.pid, round(p.range / 50, 9) AS f0, round(p.x / 50, 9) AS f1, round(p.y / 50, 9) AS f2, round(p.z / 3, 9) AS f3, p.inten AS f4, 1e0 AS f5,
-  round(coalesce(least(greatest(5 * abs(p.range - a.range) / greatest(p.range, 1e-3), 0), 1), 0), 7) AS f6,
-  round(coalesce(least(greatest(5 * abs(p.range - b.range) / greatest(p.range, 1e-3), 0), 1), 0), 7) AS f7
-FROM pix p LEFT JOIN pix a ON a.frame + 1 = p.frame AND a.row = p.row AND a.col = p.col LEFT JOIN pix b ON b.frame + 2 = p.frame AND b.row = p.row AND b.col = p.col""")
+  round(coalesce(least(greatest(5 * abs(p.range - a.range) / greatest(p.range, 1e-3), 0), 1), 0), 6) AS f6,
+  round(coalesce(least(greatest(5 * abs(p.range - b.range) / greatest(p.range, 1e-3), 0), 1), 0), 6) AS f7
+FROM pix p LEFT JOIN was a ON a.frame = p.frame AND a.lag = 1 AND a.row = p.row AND a.col = p.col LEFT JOIN was b ON b.frame = p.frame AND b.lag = 2 AND b.row = p.row AND b.col = p.col""")
 def feature_residual(spark, sf):
-    f = rangeimage.features(rangeimage.nearest(rangeimage.project(sweeps.pseudo_points(spark, sf))))
-    return f.select("frame", "row", "col", "pid", *_r(9, "f0", "f1", "f2", "f3"), "f4", "f5", *_r(7, "f6", "f7"))
+    f = rangeimage.features(_world(spark, sf), sweeps.pseudo_frames(spark))
+    return f.select("frame", "row", "col", "pid", *_r(9, "f0", "f1", "f2", "f3"), "f4", "f5", *_r(6, "f6", "f7"))
 
 
 @query(P + """,
-e AS (SELECT ring, avg(degrees(atan2(z, sqrt(x * x + y * y)))) AS elev FROM pts WHERE ring % 7 <> 2 GROUP BY ring),
+e AS (SELECT ring, avg(degrees(atan2(z, sqrt(x * x + y * y)))) AS elev FROM pts GROUP BY ring),
 f AS (SELECT CAST(r AS INTEGER) AS ring, coalesce(elev, -9e1 + r * 1e-3) AS elev FROM range(64) t(r) LEFT JOIN e ON ring = r)
 SELECT ring, round(elev, 7) AS elev, CAST(row_number() OVER (ORDER BY elev DESC, ring) - 1 AS INTEGER) AS row FROM f""")
 def ring_rank(spark, sf):
-    return rangeimage.ring_order(sweeps.pseudo_points(spark, sf).filter("ring % 7 <> 2")).select("ring", *_r(7, "elev"), F.col("row").cast("int").alias("row"))
+    return rangeimage.ring_order(sweeps.pseudo_points(spark, sf)).select("ring", *_r(7, "elev"), F.col("row").cast("int").alias("row"))
 
 
 _BANDED = """,
@@ -229,7 +254,7 @@ def grid_accuracy(spark, sf):
     top = lambda df, name: df.select("frame", "tier", "ci", "cj", S.argmax(F.array(*[F.col(f"pa{c}") for c in range(9)])).alias(name))
     pred = top(B.bin_points(placed), "pred")
     gt = top(B.bin_points(placed.filter("label >= 0").withColumn("cls", F.col("label")).withColumn("moving", F.col("gt_moving"))), "gt")
-    j = B.covered(pred.join(gt, ["frame", "tier", "ci", "cj"]), _origins(spark)).filter("not covered").join(F.broadcast(sweeps.pseudo_frames(spark)), "frame")
+    j = B.covered(pred.join(gt, ["frame", "tier", "ci", "cj"]), _origins(spark)).filter("not covered").join(sweeps.pseudo_frames(spark), "frame")
     cell = F.when(F.col("tier") == 0, 0.05).otherwise(0.5)
     dx, dy = B.cell_centre(F.col("ci"), cell) - F.col("ex"), B.cell_centre(F.col("cj"), cell) - F.col("ey")
     return metrics.confusion(j.withColumn("band", S.band(F.sqrt(dx * dx + dy * dy))).filter("band is not null"))
@@ -268,7 +293,7 @@ layers AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY
 
 
 def _rec(sql):
-    return sql.replace("WITH pts", "WITH RECURSIVE pts", 1)
+    return sql.replace("WITH raw", "WITH RECURSIVE raw", 1)
 
 
 def _map(spark, sf):
@@ -291,170 +316,342 @@ def age_layer(spark, sf):
 
 
 _NEAR = ", ".join(f"abs(a.ground - n{k}.ground)" for k in range(8))
-_STEPS = """,
+
+
+def _plane(cells):
+    """SQL of the planes of a table of cells(ci, cj, ground)."""
+    return f""",
+pz AS (SELECT avg(ground) AS z0 FROM {cells}),
+blk AS (SELECT CAST(floor(ci / 5e0) AS BIGINT) AS bi, CAST(floor(cj / 5e0) AS BIGINT) AS bj, count(*) * 1e0 AS w, sum(ground - z0) AS wz, sum((ground - z0) ** 2) AS wzz FROM {cells}, pz GROUP BY ALL),
+pm AS (SELECT a.bi, a.bj, sum(b.w) AS m00, sum(b.w * (b.bi - a.bi)) AS m10, sum(b.w * (b.bj - a.bj)) AS m01, sum(b.w * (b.bi - a.bi) ** 2) AS m20, sum(b.w * (b.bj - a.bj) ** 2) AS m02, sum(b.w * (b.bi - a.bi) * (b.bj - a.bj)) AS m11,
+    sum(b.wz) AS n00, sum(b.wz * (b.bi - a.bi)) AS n10, sum(b.wz * (b.bj - a.bj)) AS n01, sum(b.wzz) AS k00
+  FROM blk a JOIN blk b ON abs(a.bi - b.bi) <= 10 AND abs(a.bj - b.bj) <= 10 GROUP BY a.bi, a.bj),
+pn AS (SELECT bi, bj, m00, m10/m00 AS mx, m01/m00 AS my, m20/m00-(m10/m00)**2 AS cxx, m02/m00-(m01/m00)**2 AS cyy, m11/m00-(m10/m00)*(m01/m00) AS cxy, n00/m00 AS mz, n10/m00-(m10/m00)*(n00/m00) AS cxz, n01/m00-(m01/m00)*(n00/m00) AS cyz, k00/m00-(n00/m00)**2 AS czz FROM pm),
+po AS (SELECT *, m00 > 0.05 * 105 * 105 AS ok, cxx*cyy-cxy*cxy AS det FROM pn),
+pp AS (SELECT *, CASE WHEN ok AND det > 0.05*(cxx+cyy)**2/4 THEN (cxz*cyy-cyz*cxy)/det ELSE 0 END AS b, CASE WHEN ok AND det > 0.05*(cxx+cyy)**2/4 THEN (cyz*cxx-cxz*cxy)/det ELSE 0 END AS c FROM po),
+planes AS (SELECT l.ci, l.cj, l.ground, CASE WHEN ok THEN z0+mz-b*mx-c*my END + b*((((l.ci%5)+5)%5-2)/5e0) + c*((((l.cj%5)+5)%5-2)/5e0) AS ref, sqrt(greatest(czz-b*cxz-c*cyz, 0)) AS sigma
+  FROM {cells} l JOIN pp ON pp.bi = floor(l.ci/5e0) AND pp.bj = floor(l.cj/5e0), pz),
+low AS (SELECT ci, cj FROM planes WHERE ground < ref - greatest(0.05, 3 * sigma))"""
+
+
+_ROAD = """,
 stepped AS (SELECT a.*, coalesce(greatest(""" + _NEAR + """), 0) AS step FROM layers a """ + " ".join(f"LEFT JOIN layers n{k} ON n{k}.tier = a.tier AND n{k}.ci = a.ci + {i} AND n{k}.cj = a.cj + {j}" for k, (i, j) in enumerate(D.SHIFTS)) + """),
 u AS (SELECT *, 7 - seen AS age, coalesce(CASE WHEN clear <> 255 THEN clear * 0.02e0 END > 0.5 AND ground IS NOT NULL, false) AS overhang FROM stepped),
 v AS (SELECT *, overhang AND clear * 0.02e0 >= 2.5 AND gcls <> 15 AS under FROM u),
 w AS (SELECT *, CASE WHEN under THEN gcls ELSE cls END AS eff_cls FROM v),
-c0 AS (SELECT *, CASE eff_cls WHEN 0 THEN 0 WHEN 1 THEN 110 WHEN 2 THEN 10 WHEN 3 THEN 150 ELSE 254 END + CASE WHEN under THEN 20 ELSE 0 END AS p FROM w),
+road AS (SELECT ci, cj, ground FROM w WHERE tier = 0 AND eff_cls IN (0, 2) AND ground IS NOT NULL)""" + _plane("road")
+_STEPS = _ROAD + """,
+lw AS (SELECT w.*, l.ci IS NOT NULL AS dep FROM w LEFT JOIN low l ON w.tier = 0 AND l.ci = w.ci AND l.cj = w.cj),
+c0 AS (SELECT *, CASE eff_cls WHEN 0 THEN 0 WHEN 1 THEN 110 WHEN 2 THEN 10 WHEN 3 THEN 150 ELSE 254 END + CASE WHEN under THEN 20 ELSE 0 END AS p FROM lw),
 c1 AS (SELECT *, CASE WHEN step > 0.08 AND eff_cls IN (0, 2) THEN greatest(p, 180) ELSE p END AS p1 FROM c0),
 c2 AS (SELECT *, CASE WHEN step > 0.08 AND p1 < 180 THEN greatest(p1, 140) ELSE p1 END AS p2 FROM c1),
-derived AS (SELECT *, least(254, p2 + CASE WHEN rough > 0.04 THEN 30 ELSE 0 END + CASE WHEN conf < 150 THEN 25 ELSE 0 END) AS cost,
-  CASE WHEN overhang THEN 2 ELSE 0 END + CASE WHEN step > 0.08 AND ground IS NOT NULL THEN 4 ELSE 0 END + gcls * 16 AS flags FROM c2)"""
+c3 AS (SELECT *, CASE WHEN dep THEN greatest(p2, 170) ELSE p2 END AS p3 FROM c2),
+derived AS (SELECT *, least(254, p3 + CASE WHEN rough > 0.04 THEN 30 ELSE 0 END + CASE WHEN conf < 150 THEN 25 ELSE 0 END) AS cost,
+  CASE WHEN overhang THEN 2 ELSE 0 END + CASE WHEN step > 0.08 AND ground IS NOT NULL THEN 4 ELSE 0 END + CASE WHEN dep THEN 8 ELSE 0 END + gcls * 16 AS flags FROM c3)"""
+MAP = P + _placed() + STATS + FUSED
 
 
 def _derived(spark, sf):
-    return D.flags(D.steps(_map(spark, sf)))
+    return D.derive(_map(spark, sf))
 
 
-@query(_rec(P + _placed() + STATS + FUSED + _STEPS + " SELECT tier, ci, cj, round(step, 6) AS step FROM derived WHERE step > 0.08"))
+def _road(spark, sf):
+    c = D.effective(_map(spark, sf))
+    return c.filter((F.col("tier") == 0) & F.col("eff_cls").isin(*DRIVABLE) & F.col("ground").isNotNull()).select("ci", "cj", "ground")
+
+
+@query(_rec(MAP + _STEPS + " SELECT tier, ci, cj, round(step, 6) AS step FROM derived WHERE step > 0.08"))
 def step_flags(spark, sf):
     return D.steps(_map(spark, sf)).filter("step > 0.08").select("tier", "ci", "cj", *_r(6, "step"))
 
 
-@query(_rec(P + _placed() + STATS + FUSED + _STEPS + " SELECT tier, ci, cj, CAST(eff_cls AS INTEGER) AS eff_cls, overhang, CAST(flags AS INTEGER) AS flags, CAST(cost AS INTEGER) AS cost FROM derived"))
+@query(_rec(MAP + _STEPS + " SELECT tier, ci, cj, CAST(eff_cls AS INTEGER) AS eff_cls, overhang, dep AS depression, CAST(flags AS INTEGER) AS flags, CAST(cost AS INTEGER) AS cost FROM derived"))
 def cost_layer(spark, sf):
-    return _derived(spark, sf).select("tier", "ci", "cj", F.col("eff_cls").cast("int").alias("eff_cls"), "overhang", "flags", "cost")
+    return _derived(spark, sf).select("tier", "ci", "cj", F.col("eff_cls").cast("int").alias("eff_cls"), "overhang", "depression", "flags", "cost")
 
 
-@query(_rec(P + _placed() + STATS + FUSED + _STEPS + """,
+_TILE = _STEPS + """,
 dy AS (SELECT tier, ci, cj, CASE WHEN n_dyn_person * 2 > n_dyn THEN 8 ELSE 7 END AS dcls FROM stats WHERE n_dyn > 0 AND frame = 7),
-j AS (SELECT tier, ci, cj, d.*, dcls FROM derived d FULL JOIN dy USING (tier, ci, cj))
-SELECT tier, ci, cj, CAST(coalesce(dcls, cls) + 1 + CASE WHEN dcls IS NOT NULL THEN 16 ELSE 0 END + (coalesce(flags, 0) & 14) * 16 AS INTEGER) AS r,
+tj AS (SELECT tier, ci, cj, d.* EXCLUDE (tier, ci, cj), dcls FROM derived d FULL JOIN dy USING (tier, ci, cj)),
+tile AS (SELECT tier, ci, cj, CAST(coalesce(dcls, cls) + 1 + CASE WHEN dcls IS NOT NULL THEN 16 ELSE 0 END + (coalesce(flags, 0) & 14) * 16 AS INTEGER) AS r,
   CAST(CASE WHEN ground IS NULL THEN 0 ELSE floor(least(greatest((ground + 0.5) / 4.5 * 254, 0), 254)) + 1 END AS INTEGER) AS g,
-  CAST(floor(CASE WHEN dcls IS NOT NULL THEN 254 ELSE cost END / 4e0) * 4 + CASE WHEN age = 0 THEN 0 WHEN age <= 10 THEN 1 WHEN age <= 20 THEN 2 ELSE 3 END AS INTEGER) AS b FROM j""").replace("SELECT tier, ci, cj, d.*, dcls", "SELECT tier, ci, cj, d.* EXCLUDE (tier, ci, cj), dcls"))
-def tile_bits(spark, sf):
-    return D.tile_bits(_derived(spark, sf), B.dynamic_cells(_stats(spark, sf)).filter("frame = 7"))
+  CAST(floor(CASE WHEN dcls IS NOT NULL THEN 254 ELSE cost END / 4e0) * 4 + CASE WHEN age = 0 THEN 0 WHEN age <= 10 THEN 1 WHEN age <= 20 THEN 2 ELSE 3 END AS INTEGER) AS b FROM tj)"""
 
 
-_LATTICE = """WITH cells AS (
-  SELECT i AS ci, j AS cj, (i * 3 + j * 2) * 1e-3 + ((i * 7 + j * 13) % 5) * 1e-3 - CASE WHEN (i - 60) * (i - 60) + (j - 45) * (j - 45) <= 64 THEN 12e-2 ELSE 0e0 END AS ground
-  FROM range(0, 120) a(i), range(0, 100) b(j) WHERE (i * 31 + j * 17) % 10 < 7)"""
+def _tile(spark, sf):
+    stats = _stats(spark, sf)
+    return D.tile_bits(D.derive(fusion.fuse(stats, _origins(spark))), B.dynamic_cells(stats.filter("frame = 7")))
 
 
-def _lattice(spark):
-    """An analytic road: slope, camber, scatter, gaps and one hole."""
-    c = spark.range(120).withColumnRenamed("id", "ci").crossJoin(F.broadcast(spark.range(100).withColumnRenamed("id", "cj"))).filter("(ci * 31 + cj * 17) % 10 < 7")
-    hole = (F.col("ci") - 60) * (F.col("ci") - 60) + (F.col("cj") - 45) * (F.col("cj") - 45) <= 64
-    return c.withColumn("ground", (F.col("ci") * 3 + F.col("cj") * 2) * 1e-3 + ((F.col("ci") * 7 + F.col("cj") * 13) % 5) * 1e-3 - F.when(hole, 0.12).otherwise(0.0))
+@query(_rec(MAP + _TILE + " SELECT * FROM tile"))
+def tile_bits(spark, sf):
+    return _tile(spark, sf)
 
 
-@query(_LATTICE + " SELECT CAST(floor(ci / 5e0) AS BIGINT) AS bi, CAST(floor(cj / 5e0) AS BIGINT) AS bj, count(*) * 1e0 AS w, round(sum(ground), 7) AS wz, round(sum(ground * ground), 7) AS wzz FROM cells GROUP BY ALL")
+@query(_rec(MAP + _ROAD + ", b AS (SELECT bi, bj, w, round(sum(ground), 6) AS wz, round(sum(ground * ground), 6) AS wzz FROM blk JOIN road ON bi = floor(ci / 5e0) AND bj = floor(cj / 5e0) GROUP BY ALL) SELECT * FROM b"))
 def block_moments(spark, sf):
-    return D.block_moments(_lattice(spark), 5, 0.0).select("bi", "bj", "w", *_r(7, "wz", "wzz"))
+    return D.block_moments(_road(spark, sf)).select("bi", "bj", "w", *_r(6, "wz", "wzz"))
 
 
-_PLANE = _LATTICE + """,
-z AS (SELECT avg(ground) AS z0 FROM cells),
-blk AS (SELECT CAST(floor(ci / 5e0) AS BIGINT) AS bi, CAST(floor(cj / 5e0) AS BIGINT) AS bj, count(*) * 1e0 AS w, sum(ground - z0) AS wz, sum((ground - z0) ** 2) AS wzz FROM cells, z GROUP BY ALL),
-m AS (SELECT a.bi, a.bj, sum(b.w) AS m00, sum(b.w * (b.bi - a.bi)) AS m10, sum(b.w * (b.bj - a.bj)) AS m01, sum(b.w * (b.bi - a.bi) ** 2) AS m20, sum(b.w * (b.bj - a.bj) ** 2) AS m02, sum(b.w * (b.bi - a.bi) * (b.bj - a.bj)) AS m11,
-    sum(b.wz) AS n00, sum(b.wz * (b.bi - a.bi)) AS n10, sum(b.wz * (b.bj - a.bj)) AS n01, sum(b.wzz) AS k00
-  FROM blk a JOIN blk b ON abs(a.bi - b.bi) <= 10 AND abs(a.bj - b.bj) <= 10 GROUP BY a.bi, a.bj),
-n AS (SELECT bi, bj, m00, m10/m00 AS mx, m01/m00 AS my, m20/m00-(m10/m00)**2 AS cxx, m02/m00-(m01/m00)**2 AS cyy, m11/m00-(m10/m00)*(m01/m00) AS cxy, n00/m00 AS mz, n10/m00-(m10/m00)*(n00/m00) AS cxz, n01/m00-(m01/m00)*(n00/m00) AS cyz, k00/m00-(n00/m00)**2 AS czz FROM m),
-o AS (SELECT *, m00 > 0.05 * 105 * 105 AS ok, cxx*cyy-cxy*cxy AS det FROM n),
-p AS (SELECT *, CASE WHEN ok AND det > 0.05*(cxx+cyy)**2/4 THEN (cxz*cyy-cyz*cxy)/det ELSE 0 END AS b, CASE WHEN ok AND det > 0.05*(cxx+cyy)**2/4 THEN (cyz*cxx-cxz*cxy)/det ELSE 0 END AS c FROM o),
-planes AS (SELECT l.ci, l.cj, l.ground, CASE WHEN ok THEN z0+mz-b*mx-c*my END + b*((l.ci%5-2)/5e0) + c*((l.cj%5-2)/5e0) AS ref, sqrt(greatest(czz-b*cxz-c*cyz, 0)) AS sigma
-  FROM cells l JOIN p ON p.bi = floor(l.ci/5e0) AND p.bj = floor(l.cj/5e0), z)"""
-
-
-@query(_PLANE + " SELECT ci, cj, round(ref, 6) AS ref, round(sigma, 6) AS sigma FROM planes")
+@query(_rec(MAP + _ROAD + " SELECT ci, cj, round(ref, 6) AS ref, round(sigma, 6) AS sigma FROM planes"))
 def ground_plane(spark, sf):
-    return D.ground_plane(_lattice(spark)).select("ci", "cj", *_r(6, "ref", "sigma"))
+    return D.ground_plane(_road(spark, sf)).select("ci", "cj", *_r(6, "ref", "sigma"))
 
 
-@query(_PLANE + " SELECT ci, cj FROM planes WHERE ground < ref - greatest(0.05, 3 * sigma)")
+@query(_rec(MAP + _ROAD + " SELECT ci, cj FROM low"))
 def depressions(spark, sf):
-    return D.depressions(D.ground_plane(_lattice(spark))).filter("depression").select("ci", "cj")
+    return D.depressions(D.ground_plane(_road(spark, sf))).filter("depression").select("ci", "cj")
 
 
-@query(_LATTICE + """, h AS (SELECT ci, cj FROM cells WHERE (ci * 5 + cj * 3) % 97 = 0)
-SELECT DISTINCT ci + a AS ci, cj + b AS cj FROM h, range(-2, 3) x(a), range(-2, 3) y(b) WHERE abs(a) + abs(b) <= 2""")
+@query(_rec(MAP + _STEPS + " SELECT DISTINCT ci + a AS ci, cj + b AS cj FROM derived, range(-2, 3) x(a), range(-2, 3) y(b) WHERE tier = 0 AND (flags & 12) > 0 AND abs(a) + abs(b) <= 2"))
 def dilate_cross(spark, sf):
-    return D.dilate(_lattice(spark).filter("(ci * 5 + cj * 3) % 97 = 0").select("ci", "cj"))
+    return D.dilate(_derived(spark, sf).filter("tier = 0 and (flags & 12) > 0").select("ci", "cj"))
+
+
+_NEAREGO = """,
+nearc AS (SELECT d.*, (d.ci + 0.5) * 0.05 AS cx, (d.cj + 0.5) * 0.05 AS cy FROM derived d JOIN frames f ON f.frame = 7 WHERE tier = 0 AND ((d.ci + 0.5) * 0.05 - f.ex) ** 2 + ((d.cj + 0.5) * 0.05 - f.ey) ** 2 < 100),
+flagged AS (SELECT DISTINCT ci + a AS ci, cj + b AS cj FROM derived, range(-2, 3) x(a), range(-2, 3) y(b) WHERE tier = 0 AND (flags & 12) > 0 AND abs(a) + abs(b) <= 2)"""
+
+
+@query(_rec(MAP + _STEPS + _NEAREGO + " SELECT count(*) AS n, count(*) FILTER (dep) AS hits, round(count(*) FILTER (dep) / nullif(count(*), 0), 9) AS rate FROM nearc WHERE eff_cls IN (0, 2) AND age = 0"))
+def pothole_flag_rate(spark, sf):
+    return metrics.flag_rate(_derived(spark, sf), sweeps.pseudo_frames(spark)).select("n", "hits", *_r(9, "rate"))
+
+
+@query(_rec(MAP + _STEPS + _NEAREGO + """, t AS (SELECT n.ci, n.cj, f.ci IS NOT NULL AS hit FROM nearc n LEFT JOIN flagged f USING (ci, cj) WHERE age = 0 AND abs(abs(cy) - 7e0) < 0.05 AND abs(cx - 20e0) > 8)
+SELECT count(*) AS n, count(*) FILTER (hit) AS hits, round(count(*) FILTER (hit) / nullif(count(*), 0), 9) AS recall FROM t"""))
+def curb_recall(spark, sf):
+    d = _derived(spark, sf)
+    near = metrics.near_ego(d, sweeps.pseudo_frames(spark), 10.0).filter("age = 0")
+    return metrics.recall(metrics.on_curb(near, cross=20.0), d.filter("tier = 0 and (flags & 12) > 0")).select("n", "hits", *_r(9, "recall"))
+
 
+_HOLE = "SELECT CAST(s_suppkey AS BIGINT) AS hole, (s_suppkey * 37) % 20 * 1e0 AS hx, (s_suppkey * 53) % 16 - 4e0 AS hy, (s_suppkey % 5 + 2) / 5e0 AS r FROM supplier"
 
-_MEM = """,
-dyn0 AS (SELECT frame, tier, ci, cj, CASE WHEN n_dyn_person * 2 > n_dyn THEN 8 ELSE 7 END AS cls FROM stats WHERE n_dyn > 0),
-cov AS (SELECT s.*, s.tier = 1 AND s.ci - floor(o.oi / 1e1) BETWEEN 0 AND 39 AND s.cj - floor(o.oj / 1e1) BETWEEN 0 AND 39 AS covered FROM stats s JOIN org o ON o.frame = s.frame AND o.tier = 0),
-top AS (SELECT *, """ + _arg("ps") + """ AS eff FROM cov WHERE n_static > 0),
-mem AS (
-  SELECT t.frame, t.tier, t.ci, t.cj, t.eff AS cls, t.z_max, false AS moving FROM top t LEFT JOIN dyn0 d USING (frame, tier, ci, cj) WHERE t.eff IN (6, 7, 8) AND NOT covered AND d.cls IS NULL
-  UNION ALL SELECT d.frame, d.tier, d.ci, d.cj, d.cls, c.z_max, true FROM dyn0 d JOIN cov c USING (frame, tier, ci, cj) WHERE NOT c.covered),
-memb AS (SELECT *, CASE WHEN tier = 0 THEN CAST(floor(ci / 1e1) AS BIGINT) ELSE ci END AS gi, CASE WHEN tier = 0 THEN CAST(floor(cj / 1e1) AS BIGINT) ELSE cj END AS gj, CASE WHEN tier = 0 THEN 5e-2 ELSE 5e-1 END AS cell FROM mem)"""
 
+@query(_rec(MAP + _STEPS + _NEAREGO + f""", holes AS ({_HOLE}),
+t AS (SELECT h.hole, f.ci IS NOT NULL AS hit FROM nearc n JOIN holes h ON (n.cx - hx) ** 2 + (n.cy - hy) ** 2 < (r * 0.7) * (r * 0.7) LEFT JOIN flagged f ON f.ci = n.ci AND f.cj = n.cj WHERE age = 0)
+SELECT hole, count(*) AS n, count(*) FILTER (hit) AS hits, round(count(*) FILTER (hit) / count(*), 9) AS recall FROM t GROUP BY hole"""))
+def pothole_recall(spark, sf):
+    k = F.col("s_suppkey")
+    holes = _table(spark, sf, "supplier").select(k.alias("hole"), ((k * 37) % 20).cast("double").alias("hx"), ((k * 53) % 16 - 4).cast("double").alias("hy"), ((k % 5 + 2) / 5.0).alias("r"))
+    d = _derived(spark, sf)
+    near = metrics.near_ego(d, sweeps.pseudo_frames(spark), 10.0).filter("age = 0")
+    return metrics.recall(metrics.in_holes(near, holes), d.filter("tier = 0 and (flags & 12) > 0"), ("hole",)).select("hole", "n", "hits", *_r(9, "recall"))
 
-def _members(spark, sf):
-    stats = B.covered(_stats(spark, sf), _origins(spark))
+
+def _objects(stats, tag):
+    """SQL of the objects of a table of per-frame statistics: members mem, labelled members lm, boxes box, all with the tag."""
+    near = ", ".join(f"({i}, {j})" for i in (-1, 0, 1) for j in (-1, 0, 1))
+    return f""",
+dyn0{tag} AS (SELECT frame, tier, ci, cj, CASE WHEN n_dyn_person * 2 > n_dyn THEN 8 ELSE 7 END AS cls FROM {stats} WHERE n_dyn > 0),
+cov{tag} AS (SELECT s.*, s.tier = 1 AND s.ci - floor(o.oi / 1e1) BETWEEN 0 AND 39 AND s.cj - floor(o.oj / 1e1) BETWEEN 0 AND 39 AS covered FROM {stats} s JOIN org o ON o.frame = s.frame AND o.tier = 0),
+top{tag} AS (SELECT *, {_arg("ps")} AS eff FROM cov{tag} WHERE n_static > 0),
+mem{tag} AS (
+  SELECT t.frame, t.tier, t.ci, t.cj, t.eff AS cls, t.z_max, false AS moving FROM top{tag} t LEFT JOIN dyn0{tag} d USING (frame, tier, ci, cj) WHERE t.eff IN (6, 7, 8) AND NOT covered AND d.cls IS NULL
+  UNION ALL SELECT d.frame, d.tier, d.ci, d.cj, d.cls, c.z_max, true FROM dyn0{tag} d JOIN cov{tag} c USING (frame, tier, ci, cj) WHERE NOT c.covered),
+memb{tag} AS (SELECT *, CASE WHEN tier = 0 THEN CAST(floor(ci / 1e1) AS BIGINT) ELSE ci END AS gi, CASE WHEN tier = 0 THEN CAST(floor(cj / 1e1) AS BIGINT) ELSE cj END AS gj, CASE WHEN tier = 0 THEN 5e-2 ELSE 5e-1 END AS cell FROM mem{tag}),
+lat{tag} AS (SELECT DISTINCT frame, cls, gi, gj, gi * 100000 + gj AS id FROM memb{tag}),
+adj{tag} AS (SELECT a.frame, a.cls, a.id AS a, b.id AS b FROM lat{tag} a, (VALUES {near}) o(i, j), lat{tag} b WHERE a.frame = b.frame AND a.cls = b.cls AND b.gi = a.gi + o.i AND b.gj = a.gj + o.j),
+reach{tag} AS (SELECT frame, cls, id, id AS lab FROM lat{tag} UNION SELECT r.frame, r.cls, j.b, r.lab FROM reach{tag} r JOIN adj{tag} j ON j.frame = r.frame AND j.cls = r.cls AND j.a = r.id WHERE j.b > r.lab),
+comp{tag} AS (SELECT frame, cls, id, min(lab) AS comp FROM reach{tag} GROUP BY ALL),
+lm{tag} AS (SELECT m.*, c.comp, (m.ci + 0.5) * m.cell AS x, (m.cj + 0.5) * m.cell AS y FROM memb{tag} m JOIN comp{tag} c ON c.frame = m.frame AND c.cls = m.cls AND c.id = m.gi * 100000 + m.gj),
+mo{tag} AS (
+  SELECT frame, cls, comp, count(*) AS n_cells, sum(cell * cell) AS area, max(z_max) AS z_top, coalesce(sum(cell * cell) FILTER (moving), 0) > 0.5 * sum(cell * cell) + 1e-9 AS moving, avg(x) AS ox, avg(y) AS oy
+  FROM lm{tag} GROUP BY frame, cls, comp HAVING count(*) >= CASE cls WHEN 7 THEN 3 ELSE 2 END),
+me{tag} AS (
+  SELECT m.frame, m.cls, m.comp, sum(cell * cell * (x - ox)) / any_value(m.area) AS mx, sum(cell * cell * (y - oy)) / any_value(m.area) AS my
+  FROM lm{tag} l JOIN mo{tag} m USING (frame, cls, comp) GROUP BY m.frame, m.cls, m.comp),
+se{tag} AS (
+  SELECT m.frame, m.cls, m.comp, sum(cell * cell * (x - ox - mx) ** 2) AS uu, sum(cell * cell * (y - oy - my) ** 2) AS vv, sum(cell * cell * (x - ox - mx) * (y - oy - my)) AS uv
+  FROM lm{tag} l JOIN mo{tag} m USING (frame, cls, comp) JOIN me{tag} e USING (frame, cls, comp) GROUP BY m.frame, m.cls, m.comp),
+-- sums of a symmetric or single-cell shape vanish but for rounding: what is nothing beside the area counts as zero
+tu{tag} AS (SELECT frame, cls, comp, atan2(2 * CASE WHEN abs(uv) < 1e-12 THEN 0 ELSE uv END, CASE WHEN abs(uu - vv) < 1e-12 THEN 0 ELSE uu - vv END) / 2 AS turn FROM se{tag}),
+ex{tag} AS (
+  SELECT frame, cls, comp, turn, min(a - side) AS a0, max(a + side) AS a1, min(b - side) AS b0, max(b + side) AS b1
+  FROM (SELECT frame, cls, comp, turn, (x - ox - mx) * cos(turn) + (y - oy - my) * sin(turn) AS a, (y - oy - my) * cos(turn) - (x - ox - mx) * sin(turn) AS b, cell / 2 * (abs(cos(turn)) + abs(sin(turn))) AS side
+        FROM lm{tag} JOIN mo{tag} USING (frame, cls, comp) JOIN me{tag} USING (frame, cls, comp) JOIN tu{tag} USING (frame, cls, comp)) GROUP BY frame, cls, comp, turn),
+box{tag} AS (
+  SELECT frame, CAST(cls AS INTEGER) AS cls, comp, n_cells, area, z_top, moving,
+    ox + mx + (a0 + a1) / 2 * cos(turn) - (b0 + b1) / 2 * sin(turn) AS x, oy + my + (a0 + a1) / 2 * sin(turn) + (b0 + b1) / 2 * cos(turn) AS y,
+    greatest(a1 - a0, b1 - b0) AS length, least(a1 - a0, b1 - b0) AS width, CASE WHEN b1 - b0 > a1 - a0 + 1e-9 THEN turn + pi() / 2 ELSE turn END AS heading
+  FROM mo{tag} JOIN me{tag} USING (frame, cls, comp) JOIN ex{tag} USING (frame, cls, comp)),
+rep{tag} AS (SELECT * FROM box{tag} WHERE area >= CASE cls WHEN 6 THEN 0.02 WHEN 7 THEN 1.0 ELSE 0.05 END - 1e-9)"""
+
+
+_MEM = _objects("stats", "")
+OBJECTS = P + _placed() + STATS + _MEM
+_TRUE = """,
+gplaced AS (SELECT * REPLACE (label AS cls, gt_moving AS moving) FROM placed WHERE label >= 0)""" + STATS.replace("stats AS (", "gstats AS (").replace("FROM placed", "FROM gplaced") + _objects("gstats", "g")
+
+
+def _members(spark, sf, truth=False):
+    placed = B.assign(_world(spark, sf))
+    if truth:
+        placed = placed.filter("label >= 0").withColumn("cls", F.col("label")).withColumn("moving", F.col("gt_moving"))
+    stats = B.covered(B.bin_points(placed), _origins(spark))
     cells = stats.filter("n_static > 0").withColumn("eff_cls", S.argmax(F.array(*[F.col(f"ps{c}") for c in range(9)]))).withColumn("age", F.lit(0))
-    dyn = stats.filter("n_dyn > 0").withColumn("cls", F.when(F.col("n_dyn_person") * 2 > F.col("n_dyn"), 8).otherwise(7))
-    return objects.members(cells, dyn, keys=("frame",))
+    return objects.members(cells, B.dynamic_cells(stats).join(stats.select("frame", "tier", "ci", "cj", "covered"), ["frame", "tier", "ci", "cj"]), keys=("frame",))
 
 
-@query(P + _placed() + STATS + _MEM + " SELECT frame, tier, ci, cj, CAST(cls AS INTEGER) AS cls, z_max, moving, gi, gj FROM memb")
+@query(OBJECTS + " SELECT frame, tier, ci, cj, CAST(cls AS INTEGER) AS cls, z_max, moving, gi, gj FROM memb")
 def object_members(spark, sf):
     return _members(spark, sf).select("frame", "tier", "ci", "cj", "cls", "z_max", "moving", "gi", "gj")
 
 
-_COMP = """,
-lat AS (SELECT DISTINCT frame, cls, gi, gj, gi * 100000 + gj AS id FROM memb),
-adj AS (SELECT a.frame, a.cls, a.id AS a, b.id AS b FROM lat a JOIN lat b ON a.frame = b.frame AND a.cls = b.cls AND abs(a.gi - b.gi) <= 1 AND abs(a.gj - b.gj) <= 1),
-reach AS (SELECT frame, cls, id, id AS lab FROM lat UNION SELECT r.frame, r.cls, j.b, r.lab FROM reach r JOIN adj j ON j.frame = r.frame AND j.cls = r.cls AND j.a = r.id WHERE j.b > r.lab),
-comp AS (SELECT frame, cls, id, min(lab) AS comp FROM reach GROUP BY ALL),
-lm AS (SELECT m.*, c.comp FROM memb m JOIN comp c ON c.frame = m.frame AND c.cls = m.cls AND c.id = m.gi * 100000 + m.gj)"""
+def _labelled(spark, sf, truth=False):
+    return objects.label(_members(spark, sf, truth))
 
 
-def _labelled(spark, sf):
-    m = _members(spark, sf)
-    return m.join(objects.components(m), ["frame", "cls", "gi", "gj"])
+def _boxes(spark, sf, truth=False):
+    """All objects, predicted or true: frame, cls, comp and what boxes() gives."""
+    b = objects.boxes(_labelled(spark, sf, truth))
+    return b.withColumn("comp", F.col("ki") * 100000 + F.col("kj")).drop("ki", "kj")
 
 
-@query(_rec(P + _placed() + STATS + _MEM + _COMP + " SELECT frame, CAST(cls AS INTEGER) AS cls, comp, count(*) AS n_cells, round(sum(cell * cell), 7) AS area, max(z_max) AS z_top, coalesce(sum(cell * cell) FILTER (moving), 0) > 0.5 * sum(cell * cell) + 1e-9 AS moving FROM lm GROUP BY frame, cls, comp HAVING count(*) >= CASE cls WHEN 7 THEN 3 ELSE 2 END"))
+@query(_rec(OBJECTS + " SELECT frame, CAST(cls AS INTEGER) AS cls, comp, n_cells, round(area, 7) AS area, z_top, moving FROM mo"))
 def object_components(spark, sf):
-    b = objects.boxes(_labelled(spark, sf))
-    return b.select("frame", "cls", (F.col("ki") * 100000 + F.col("kj")).alias("comp"), "n_cells", *_r(7, "area"), "z_top", "moving")
+    return _boxes(spark, sf).select("frame", "cls", "comp", "n_cells", *_r(7, "area"), "z_top", "moving")
+
+
+_BOX = "frame, cls, comp, n_cells, moving, z_top, round(x, 4) AS x, round(y, 4) AS y, round(length, 5) AS length, round(width, 5) AS width, round(area, 6) AS area"
 
 
-@query()
+@query(_rec(OBJECTS + f" SELECT {_BOX} FROM rep"))
 def object_boxes(spark, sf):
-    b = objects.reported(objects.boxes(_labelled(spark, sf)))
-    return b.select("frame", "cls", "ki", "kj", "n_cells", "moving", "z_top", *_r(6, "x", "y", "length", "width", "yaw", "area"))
+    b = objects.reported(_boxes(spark, sf))
+    return b.select("frame", "cls", "comp", "n_cells", "moving", "z_top", *_r(4, "x", "y"), *_r(5, "length", "width"), *_r(6, "area"))
+
+
+@query(_rec(OBJECTS + " SELECT frame, cls, comp, round(abs(cos(heading)), 5) AS along, round(abs(sin(heading)), 5) AS across FROM rep WHERE length - width > 1e-6"))
+def object_headings(spark, sf):
+    b = objects.reported(_boxes(spark, sf)).filter("length - width > 1e-6")
+    return b.select("frame", "cls", "comp", F.round(F.abs(F.cos("yaw")), 5).alias("along"), F.round(F.abs(F.sin("yaw")), 5).alias("across"))
+
+
+def _greedy(cand, name="greedy"):
+    """SQL of the greedy matches of a table cand(keys, pid, gid, dist): repeatedly all pairs that are each other's first choice."""
+    return f""",
+{name}r AS (
+  SELECT k, pid, gid, dist, false AS hit FROM {cand}
+  UNION ALL
+  SELECT k, pid, gid, dist, hit FROM (
+    SELECT *, max(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY k, pid) AS pm, max(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY k, gid) AS gm FROM (
+      SELECT k, pid, gid, dist, row_number() OVER (PARTITION BY k, pid ORDER BY dist, pid, gid) = 1 AND row_number() OVER (PARTITION BY k, gid ORDER BY dist, pid, gid) = 1 AS hit FROM {name}r WHERE NOT hit))
+  WHERE hit OR (pm = 0 AND gm = 0)),
+{name} AS (SELECT k, pid, gid, dist FROM {name}r WHERE hit)"""
+
+
+def _near(spark, objs):
+    return objects.in_range(objs, sweeps.pseudo_frames(spark))
+
+
+def _scored(spark, sf):
+    """Reported detections and true objects within range, and their matches."""
+    pred = _near(spark, objects.reported(_boxes(spark, sf))).withColumnRenamed("comp", "pid")
+    truth = _near(spark, _boxes(spark, sf, True)).withColumnRenamed("comp", "gid")
+    return pred, truth, objects.match(pred, truth)
+
+
+_INRANGE = """,
+pin AS (SELECT b.* FROM box b JOIN frames f USING (frame) WHERE (b.x - f.ex) ** 2 + (b.y - f.ey) ** 2 < 625),
+gin AS (SELECT b.* FROM boxg b JOIN frames f USING (frame) WHERE (b.x - f.ex) ** 2 + (b.y - f.ey) ** 2 < 625),
+prep AS (SELECT * FROM pin WHERE area >= CASE cls WHEN 6 THEN 0.02 WHEN 7 THEN 1.0 ELSE 0.05 END - 1e-9)"""
+_MATCHED = _TRUE + _INRANGE + """,
+ocand AS (SELECT p.frame || ':' || p.cls AS k, p.comp AS pid, g.comp AS gid, sqrt((p.x - g.x) ** 2 + (p.y - g.y) ** 2) AS dist FROM prep p JOIN gin g ON g.frame = p.frame AND g.cls = p.cls WHERE (p.x - g.x) ** 2 + (p.y - g.y) ** 2 <= CASE p.cls WHEN 7 THEN 2.25 ELSE 0.5625 END)""" + _greedy("ocand")
+
+
+@query(_rec(OBJECTS + _MATCHED + """,
+c AS (SELECT cls, count(*) AS np FROM prep GROUP BY cls), d AS (SELECT cls, count(*) AS ng FROM gin GROUP BY cls), t AS (SELECT CAST(split_part(k, ':', 2) AS INTEGER) AS cls, count(*) AS tp FROM greedy GROUP BY 1),
+q AS (SELECT CAST(coalesce(c.cls, d.cls) AS INTEGER) AS cls, coalesce(t.tp, 0) AS tp, coalesce(np, 0) - coalesce(t.tp, 0) AS fp, coalesce(ng, 0) - coalesce(t.tp, 0) AS fn FROM c FULL JOIN d ON c.cls = d.cls LEFT JOIN t ON t.cls = coalesce(c.cls, d.cls))
+SELECT cls, tp, fp, fn, round(tp / nullif(tp + fp, 0), 9) AS precision, round(tp / nullif(tp + fn, 0), 9) AS recall, round(2e0 * tp / nullif(2 * tp + fp + fn, 0), 9) AS f1 FROM q"""))
+def object_scores(spark, sf):
+    pred, truth, found = _scored(spark, sf)
+    return metrics.precision_recall(objects.object_counts(pred, truth, found)).select("cls", "tp", "fp", "fn", *_r(9, "precision", "recall", "f1"))
+
+
+@query(_rec(OBJECTS + _MATCHED + """
+SELECT count(*) AS pairs, round(avg(CASE WHEN p.moving = g.moving THEN 1e0 ELSE 0e0 END), 9) AS agreement FROM greedy m JOIN prep p ON p.frame || ':' || p.cls = m.k AND p.comp = m.pid JOIN gin g ON g.frame || ':' || g.cls = m.k AND g.comp = m.gid"""))
+def moving_agreement(spark, sf):
+    return objects.moving_agreement(*_scored(spark, sf)).select("pairs", *_r(9, "agreement"))
+
+
+_SWEEP = ", ".join(f"({c}, {v!r}::DOUBLE)" for c, vs in AREA_SWEEP.items() for v in vs)
+
+
+@query(_rec(OBJECTS + _TRUE + _INRANGE + f""",
+sw(cls, a) AS (VALUES {_SWEEP}),
+pp0 AS (SELECT p.*, s.a FROM pin p JOIN sw s ON s.cls = p.cls AND p.area >= s.a - 1e-9), gg0 AS (SELECT g.*, s.a FROM gin g JOIN sw s ON s.cls = g.cls),
+ocand AS (SELECT p.frame || ':' || p.cls || ':' || p.a AS k, p.comp AS pid, g.comp AS gid, sqrt((p.x - g.x) ** 2 + (p.y - g.y) ** 2) AS dist FROM pp0 p JOIN gg0 g ON g.frame = p.frame AND g.cls = p.cls AND g.a = p.a WHERE (p.x - g.x) ** 2 + (p.y - g.y) ** 2 <= CASE p.cls WHEN 7 THEN 2.25 ELSE 0.5625 END)""" + _greedy("ocand") + """,
+c AS (SELECT cls, a, count(*) AS np FROM pp0 GROUP BY ALL), d AS (SELECT cls, a, count(*) AS ng FROM gg0 GROUP BY ALL), t AS (SELECT CAST(split_part(k, ':', 2) AS INTEGER) AS cls, CAST(split_part(k, ':', 3) AS DOUBLE) AS a, count(*) AS tp FROM greedy GROUP BY ALL),
+q AS (SELECT CAST(coalesce(c.cls, d.cls) AS INTEGER) AS cls, coalesce(c.a, d.a) AS min_area, coalesce(t.tp, 0) AS tp, coalesce(np, 0) - coalesce(t.tp, 0) AS fp, coalesce(ng, 0) - coalesce(t.tp, 0) AS fn FROM c FULL JOIN d ON c.cls = d.cls AND c.a = d.a LEFT JOIN t ON t.cls = coalesce(c.cls, d.cls) AND t.a = coalesce(c.a, d.a))
+SELECT cls, min_area, tp, fp, fn, round(tp / nullif(tp + fp, 0), 9) AS precision, round(tp / nullif(tp + fn, 0), 9) AS recall, round(2e0 * tp / nullif(2 * tp + fp + fn, 0), 9) AS f1 FROM q"""))
+def area_sweep(spark, sf):
+    pred = _near(spark, _boxes(spark, sf)).withColumnRenamed("comp", "pid")
+    truth = _near(spark, _boxes(spark, sf, True)).withColumnRenamed("comp", "gid")
+    counts = objects.area_sweep(pred, truth)
+    return metrics.precision_recall(counts).select("cls", "min_area", "tp", "fp", "fn", *_r(9, "precision", "recall", "f1"))
+
+
+@query(_rec(OBJECTS + " SELECT f.frame, count(r.comp) AS n FROM frames f LEFT JOIN rep r USING (frame) GROUP BY f.frame"))
+def objects_per_frame(spark, sf):
+    return objects.per_frame(objects.reported(_boxes(spark, sf)), sweeps.pseudo_frames(spark))
+
+
+_FALSE = """,
+fp AS (SELECT p.* FROM prep p LEFT JOIN greedy m ON m.k = p.frame || ':' || p.cls AND m.pid = p.comp WHERE m.pid IS NULL),
+nearg AS (SELECT p.frame, p.cls, p.comp, bool_or(g.cls = p.cls) AS fragment, bool_or(g.cls <> p.cls) AS other_class FROM fp p JOIN boxg g ON g.frame = p.frame AND (p.x - g.x) ** 2 + (p.y - g.y) ** 2 < 9 GROUP BY ALL),
+kinds AS (SELECT p.frame, p.cls, p.comp, p.n_cells, coalesce(fragment, false) AS fragment, coalesce(other_class, false) AS other_class FROM fp p LEFT JOIN nearg USING (frame, cls, comp))"""
+
+
+def _false(spark, sf):
+    pred, truth, found = _scored(spark, sf)
+    return objects.near_truth(pred.join(found, ["frame", "cls", "pid"], "left_anti"), _boxes(spark, sf, True))
+
+
+@query(_rec(OBJECTS + _MATCHED + _FALSE + " SELECT * FROM kinds"))
+def false_detection_kinds(spark, sf):
+    return _false(spark, sf).select("frame", "cls", F.col("pid").alias("comp"), "n_cells", "fragment", "other_class")
+
+
+@query(_rec(OBJECTS + _MATCHED + _FALSE + " SELECT CAST(cls AS INTEGER) AS cls, count(*) AS n, round(avg(CAST(fragment AS INTEGER)), 9) AS fragments, round(avg(CAST(other_class AS INTEGER)), 9) AS other_class, round(quantile_cont(n_cells, 0.25), 6) AS q25, round(quantile_cont(n_cells, 0.5), 6) AS q50, round(quantile_cont(n_cells, 0.75), 6) AS q75 FROM kinds GROUP BY cls"))
+def object_diagnostics(spark, sf):
+    return metrics.diagnostics(_false(spark, sf)).select("cls", "n", *_r(9, "fragments", "other_class"), *_r(6, "q25", "q50", "q75"))
+
+
+@query(_rec(OBJECTS + _MATCHED + """,
+s AS (SELECT p.cls, CASE WHEN m.pid IS NULL THEN 'fp' ELSE 'tp' END AS kind, n_cells FROM prep p LEFT JOIN greedy m ON m.k = p.frame || ':' || p.cls AND m.pid = p.comp
+      UNION ALL SELECT g.cls, 'fn', n_cells FROM gin g LEFT JOIN greedy m ON m.k = g.frame || ':' || g.cls AND m.gid = g.comp WHERE m.gid IS NULL)
+SELECT CAST(cls AS INTEGER) AS cls, kind, round(quantile_cont(n_cells, 0.5), 6) AS median_cells FROM s GROUP BY ALL"""))
+def object_sizes(spark, sf):
+    return objects.median_sizes(*_scored(spark, sf)).select("cls", "kind", *_r(6, "median_cells"))
 
 
 def _pairs(spark, sf):
-    """Predicted and true objects: pseudo points of the object classes, cut to a sparse set."""
+    """Points of the object classes, predicted and true, as a dense set to match: all of them."""
     pts = _world(spark, sf)
-    key = ["frame", "pid"]
-    once = pts.groupBy(*key).agg(F.min(F.struct("wx", "wy", "cls", "label")).alias("s"), F.count("*").alias("n")).filter("n = 1").select(*key, "s.*")
-    pred = once.filter("cls >= 6").select("frame", "cls", F.col("wx").alias("x"), F.col("wy").alias("y"), "pid")
-    truth = once.filter("label >= 6").select("frame", F.col("label").alias("cls"), (F.col("wx") + 0.25).alias("x"), (F.col("wy") - 0.5).alias("y"), F.col("pid").alias("gid"))
+    pred = pts.filter("cls >= 6").select("frame", "cls", F.col("wx").alias("x"), F.col("wy").alias("y"), "pid")
+    truth = pts.filter("label >= 6").select("frame", F.col("label").alias("cls"), (F.col("wx") + 0.25).alias("x"), (F.col("wy") - 0.5).alias("y"), F.col("pid").alias("gid"))
     return pred, truth
 
 
-@query()
-def greedy_matches(spark, sf):
-    return objects.match(*_pairs(spark, sf)).select("frame", "cls", "pid", "gid", *_r(9, "dist"))
+_CAND = """,
+cand AS (SELECT p.frame || ':' || p.cls AS k, p.frame, p.cls, p.pid, g.pid AS gid, sqrt((p.wx - (g.wx + 0.25)) * (p.wx - (g.wx + 0.25)) + (p.wy - (g.wy - 0.5)) * (p.wy - (g.wy - 0.5))) AS dist FROM wp p JOIN wp g ON p.frame = g.frame AND p.cls = g.label
+  WHERE p.cls >= 6 AND g.wx + 0.25 BETWEEN p.wx - 1.5 AND p.wx + 1.5 AND sqrt((p.wx - (g.wx + 0.25)) * (p.wx - (g.wx + 0.25)) + (p.wy - (g.wy - 0.5)) * (p.wy - (g.wy - 0.5))) <= CASE p.cls WHEN 7 THEN 1.5 ELSE 0.75 END)"""
 
 
-_CAND = """,
-once AS (SELECT frame, pid, min(wx) AS wx, min(wy) AS wy, min(cls) AS cls, min(label) AS label FROM wp GROUP BY frame, pid HAVING count(*) = 1),
-cand AS (SELECT p.frame, p.cls, p.pid, g.pid AS gid, sqrt((p.wx - (g.wx + 0.25)) ** 2 + (p.wy - (g.wy - 0.5)) ** 2) AS dist FROM once p JOIN once g ON p.frame = g.frame AND p.cls = g.label
-  WHERE p.cls >= 6 AND sqrt((p.wx - (g.wx + 0.25)) ** 2 + (p.wy - (g.wy - 0.5)) ** 2) <= CASE p.cls WHEN 7 THEN 1.5 ELSE 0.75 END)"""
+@query(_rec(P + _CAND + _greedy("cand") + " SELECT CAST(split_part(k, ':', 1) AS INTEGER) AS frame, CAST(split_part(k, ':', 2) AS INTEGER) AS cls, pid, gid, round(dist, 7) AS dist FROM greedy"))
+def greedy_matches(spark, sf):
+    return objects.match(*_pairs(spark, sf)).select("frame", "cls", "pid", "gid", *_r(7, "dist"))
 
 
 @query(P + _CAND + """
 SELECT frame, cls, pid, gid, round(dist, 7) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY frame, cls, pid ORDER BY dist, pid, gid) AS a, row_number() OVER (PARTITION BY frame, cls, gid ORDER BY dist, pid, gid) AS b FROM cand) WHERE a = 1 AND b = 1""")
 def mutual_nearest(spark, sf):
-    pred, truth = _pairs(spark, sf)
-    reach = F.when(F.col("cls") == 7, 1.5).otherwise(0.75)
-    near = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    p = pred.withColumn("bx", F.floor(F.col("x") / reach)).withColumn("by", F.floor(F.col("y") / reach))
-    g = truth.withColumn("o", F.explode(near)).select("frame", "cls", "gid", F.col("x").alias("gx"), F.col("y").alias("gy"), (F.floor(F.col("x") / reach) + F.col("o.a")).alias("bx"), (F.floor(F.col("y") / reach) + F.col("o.b")).alias("by"))
-    dx, dy = F.col("x") - F.col("gx"), F.col("y") - F.col("gy")
-    c = p.join(g, ["frame", "cls", "bx", "by"]).withColumn("dist", F.sqrt(dx * dx + dy * dy)).filter(F.col("dist") <= reach).select("frame", "cls", "pid", "gid", "dist")
-    return objects.mutual_nearest(c).select("frame", "cls", "pid", "gid", *_r(7, "dist"))
+    return objects.mutual_nearest(objects.candidates(*_pairs(spark, sf))).select("frame", "cls", "pid", "gid", *_r(7, "dist"))
 
 
-@query(P + " SELECT frame, count(DISTINCT (floor(wx / 5e-2), floor(wy / 5e-2), floor(z / 5e-2))) AS voxels, 10 * count(DISTINCT (floor(wx / 5e-2), floor(wy / 5e-2), floor(z / 5e-2))) AS bytes FROM wp GROUP BY frame")
+@query(P + " SELECT frame, count(DISTINCT (floor(wx / 5e-2), floor(wy / 5e-2), floor(wz / 5e-2))) AS voxels, 10 * count(DISTINCT (floor(wx / 5e-2), floor(wy / 5e-2), floor(wz / 5e-2))) AS bytes FROM wp GROUP BY frame")
 def voxel_count(spark, sf):
     return metrics.voxels(_world(spark, sf))
 
@@ -467,18 +664,20 @@ def memory_bytes(spark, sf):
 @query("""WITH k AS (SELECT event_id, value, row_number() OVER (ORDER BY event_id) AS r FROM events)
 SELECT round(quantile_cont(value, 0.5), 7) AS p50, round(quantile_cont(value, 0.95), 7) AS p95, round(quantile_cont(value, 0.99), 7) AS p99, round(avg(value), 6) AS mean, round(1000 / avg(value), 6) AS fps FROM k WHERE r > 2""")
 def latency_percentiles(spark, sf):
-    ev = _table(spark, sf, "events").select("event_id", "value")
-    first = [r[0] for r in ev.orderBy("event_id").limit(2).collect()]  # the two warm-up frames, without ranking all
-    q = lambda p: F.percentile("value", F.lit(p))
-    return ev.filter(~F.col("event_id").isin(first)).agg(F.round(q(0.5), 7).alias("p50"), F.round(q(0.95), 7).alias("p95"), F.round(q(0.99), 7).alias("p99"), F.round(F.avg("value"), 6).alias("mean"), F.round(1000 / F.avg("value"), 6).alias("fps"))
+    got = metrics.latency(_table(spark, sf, "events").select("event_id", "value"), "event_id", "value")
+    return got.select(*_r(7, "p50", "p95", "p99"), *_r(6, "mean", "fps"))
 
 
-@query("""SELECT event_id, round(quantile_cont(value, 0.5) OVER w, 7) AS p50, round(quantile_cont(value, 0.95) OVER w, 7) AS p95, round(avg(value) OVER w, 9) AS mean
-FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)""")
+@query("""SELECT event_id, round(quantile_cont(value, 0.5) OVER w, 7) AS p50, round(quantile_cont(value, 0.95) OVER w, 7) AS p95, round(quantile_cont(value, 0.99) OVER w, 7) AS p99, round(avg(value) OVER w, 9) AS mean, round(1000 / avg(value) OVER w, 5) AS fps
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE r > 2 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)""")
 def rolling_latency(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-199, 0)
-    q = lambda p: F.percentile("value", F.lit(p)).over(w)
-    return _table(spark, sf, "events").select("event_id", F.round(q(0.5), 7).alias("p50"), F.round(q(0.95), 7).alias("p95"), F.round(F.avg("value").over(w), 9).alias("mean"))
+    got = metrics.rolling(_table(spark, sf, "events"), ("user_id",), ("ts", "event_id"), "value", skip=2)
+    return got.select("event_id", *_r(7, "p50", "p95", "p99"), *_r(9, "mean"), *_r(5, "fps"))
+
+
+@query("SELECT event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 100")
+def recent_history(spark, sf):
+    return metrics.recent(_table(spark, sf, "events"), ("user_id",), ("ts", "event_id")).select("event_id", "value")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 5) AS total FROM events GROUP BY ALL")
@@ -509,11 +708,11 @@ def positive_weight(spark, sf):
 
 
 @query(P + """, boxes AS (SELECT CAST(s_suppkey AS BIGINT) AS box, CAST(s_suppkey % 7 + 1 AS INTEGER) AS frame, (s_suppkey * 37) % 160 - 80 + s_suppkey % 7 AS bx, (s_suppkey * 53) % 160 - 80 AS byy, 12e0 AS length, 6e0 AS width, 4e0 AS height, (s_suppkey % 10) / 1e1 AS yaw FROM supplier)
-SELECT b.frame, b.box, count(*) AS n FROM boxes b JOIN wp p ON p.frame = b.frame AND abs((wx - bx) * cos(yaw) + (wy - byy) * sin(yaw)) <= length / 2 + 0.1 AND abs((wy - byy) * cos(yaw) - (wx - bx) * sin(yaw)) <= width / 2 + 0.1 AND abs(z - 1) <= height / 2 + 0.1 GROUP BY ALL""")
+SELECT b.frame, b.box, count(*) AS n FROM boxes b JOIN wp p ON p.frame = b.frame AND abs((wx - bx) * cos(yaw) + (wy - byy) * sin(yaw)) <= length / 2 + 0.1 AND abs((wy - byy) * cos(yaw) - (wx - bx) * sin(yaw)) <= width / 2 + 0.1 AND abs(wz - 1) <= height / 2 + 0.1 GROUP BY ALL""")
 def box_containment(spark, sf):
     s, k = _table(spark, sf, "supplier"), F.col("s_suppkey")
     b = s.select(k.alias("box"), (k % 7 + 1).cast("int").alias("frame"), ((k * 37) % 160 - 80 + k % 7).cast("double").alias("bx"), ((k * 53) % 160 - 80).cast("double").alias("by"), F.lit(1.0).alias("bz"), F.lit(12.0).alias("length"), F.lit(6.0).alias("width"), F.lit(4.0).alias("height"), ((k % 10) / 10.0).alias("yaw"))
-    return nuscenes.points_in_boxes(_world(spark, sf), b).groupBy("frame", "box").agg(F.count("*").alias("n"))
+    return nuscenes.points_in_boxes(_world(spark, sf).withColumn("z", F.col("wz")), b).groupBy("frame", "box").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT event_id, lag(event_id, 1) OVER w AS back1, lag(event_id, 2) OVER w AS back2, row_number() OVER w - 1 AS place FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
@@ -524,14 +723,14 @@ def chain_walk(spark, sf):
 
 @query("""WITH e AS (SELECT *, lag(value) OVER w AS pv, lead(value) OVER w AS nv, lag(ts) OVER w AS pt, lead(ts) OVER w AS nt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 d AS (SELECT event_id, coalesce(nv, value) - coalesce(pv, value) AS dv, (epoch_us(coalesce(nt, ts)) - epoch_us(coalesce(pt, ts))) / 1e6 AS dt FROM e)
-SELECT event_id, CASE WHEN dt > 0 THEN round(abs(dv) / dt, 7) END AS speed FROM d""")
+SELECT event_id, CASE WHEN dt > 0 THEN round(sqrt(dv * dv) / dt, 7) END AS speed FROM d""")
 def velocity_join(spark, sf):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    e = _table(spark, sf, "events").withColumn("us", us)
-    dv = F.coalesce(F.lead("value").over(w), F.col("value")) - F.coalesce(F.lag("value").over(w), F.col("value"))
-    dt = (F.coalesce(F.lead("us").over(w), F.col("us")) - F.coalesce(F.lag("us").over(w), F.col("us"))) / 1e6
-    return e.select("event_id", F.when(dt > 0, F.round(F.abs(dv) / dt, 7)).alias("speed"))
+    ann = _table(spark, sf, "events").select(
+        F.col("event_id").alias("token"), F.unix_micros(F.col("ts").cast("timestamp")).alias("timestamp"), F.array("value", F.lit(0.0), F.lit(0.0)).alias("translation"),
+        F.lag("event_id").over(w).alias("prev"), F.lead("event_id").over(w).alias("next"),
+    )
+    return nuscenes.speeds(ann).select(F.col("token").alias("event_id"), *_r(7, "speed"))
 
 
 @query("SELECT l_partkey % 300 AS raw, CASE WHEN l_partkey % 300 IN (40, 60) THEN 0 WHEN l_partkey % 300 IN (48, 49) THEN 1 WHEN l_partkey % 300 = 44 THEN 2 WHEN l_partkey % 300 = 72 THEN 3 WHEN l_partkey % 300 IN (70, 71) THEN 4 WHEN l_partkey % 300 IN (50, 51, 52, 99) THEN 5 WHEN l_partkey % 300 IN (80, 81) THEN 6 WHEN l_partkey % 300 IN (10, 11, 13, 15, 16, 18, 20, 252, 256, 257, 258, 259) THEN 7 WHEN l_partkey % 300 IN (30, 31, 32, 253, 254, 255) THEN 8 ELSE -1 END AS cls, count(*) AS n FROM lineitem GROUP BY ALL")
@@ -549,22 +748,14 @@ def quaternion_pose(spark, sf):
     return _table(spark, sf, "customer").select("c_custkey", *[F.round(r[i], 9).alias(n) for i, n in ((0, "r00"), (1, "r01"), (6, "r20"), (8, "r22"))], F.round(F.atan2(r[3], r[0]), 9).alias("yaw"))
 
 
-@query("""WITH s AS (SELECT vec_id, [CAST(e AS DOUBLE) FOR e IN embedding[1:9]] AS x FROM embeddings WHERE len(embedding) >= 9),
+@query("""WITH s AS (SELECT vec_id, [CAST(e AS DOUBLE) FOR e IN embedding] AS x FROM embeddings WHERE len(embedding) > 0),
 e AS (SELECT vec_id, [exp(v - list_max(x)) FOR v IN x] AS e FROM s) SELECT vec_id, round(list_max(e) / list_sum(e), 7) AS top, CAST(list_position(e, list_max(e)) - 1 AS INTEGER) AS cls FROM e""")
 def softmax_top(spark, sf):
-    x = F.transform(F.slice("embedding", 1, 9), lambda v: v.cast("double"))
-    p = _table(spark, sf, "embeddings").filter("size(embedding) >= 9").select("vec_id", S.softmax(x).alias("p"))
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    p = _table(spark, sf, "embeddings").filter("size(embedding) > 0").select("vec_id", S.softmax(x).alias("p"))
     return p.select("vec_id", F.round(F.array_max("p"), 7).alias("top"), S.argmax(F.col("p")).alias("cls"))
 
 
-@query(P + _BANDED + """, t AS (SELECT cls, count(*) FILTER (gt = p) AS tp FROM (SELECT cls, label AS gt, cls AS p FROM banded WHERE label >= 0 AND band = 0) GROUP BY cls),
-q AS (SELECT c AS cls, count(*) FILTER (label = c AND cls = c) AS tp, count(*) FILTER (label <> c AND cls = c) AS fp, count(*) FILTER (label = c AND cls <> c) AS fn FROM banded, range(6, 9) r(c) WHERE label >= 0 AND band IS NOT NULL GROUP BY c)
-SELECT CAST(cls AS INTEGER) AS cls, tp, fp, fn, round(tp / nullif(tp + fp, 0), 9) AS precision, round(tp / nullif(tp + fn, 0), 9) AS recall, round(2e0 * tp / nullif(2 * tp + fp + fn, 0), 9) AS f1 FROM q""")
-def object_scores(spark, sf):
-    k = metrics.iou(_conf(spark, sf)).filter("cls >= 6").select("cls", "tp", "fp", "fn")
-    return metrics.precision_recall(k).select("cls", "tp", "fp", "fn", *_r(9, "precision", "recall", "f1"))
-
-
 @query("SELECT DISTINCT CAST(f AS BIGINT) AS frame FROM (SELECT i - k AS f FROM range(0, 25, 10) a(i), range(0, 3) b(k)) WHERE f >= 0")
 def needed_scans(spark, sf):
     from ..sources import kitti
@@ -584,13 +775,4 @@ def overlay_points(spark, sf):
     return sweeps.pseudo_points(spark, sf).select("frame", "pid", cm("x"), cm("y"), (F.col("cls") + F.when(F.col("moving"), 16).otherwise(0)).cast("int").alias("code"))
 
 
-@query(_rec(P + _placed() + STATS + _MEM + _COMP + """,
-o AS (SELECT frame, cls, comp, sum(cell * cell) AS area FROM lm GROUP BY frame, cls, comp HAVING count(*) >= CASE cls WHEN 7 THEN 3 ELSE 2 END)
-SELECT CAST(cls AS INTEGER) AS cls, q, count(*) FILTER (area >= q) AS n FROM o, (VALUES (0.02::DOUBLE), (0.05::DOUBLE), (0.251::DOUBLE), (0.501::DOUBLE), (1.001::DOUBLE), (2.001::DOUBLE), (4.001::DOUBLE)) t(q) GROUP BY cls, q"""))
-def area_sweep(spark, sf):
-    o = objects.boxes(_labelled(spark, sf)).select("cls", "area")
-    q = F.array(*[F.lit(v) for v in (0.02, 0.05, 0.251, 0.501, 1.001, 2.001, 4.001)])
-    return o.withColumn("q", F.explode(q)).groupBy("cls", "q").agg(F.count_if(F.col("area") >= F.col("q")).alias("n"))
-
-
 assert set(MIN_AREA) == {6, 7, 8}

@@ -8,9 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import metrics, objects, rangeimage, training
+from ..operators import metrics, rangeimage, training
 from ..sources import raycast, sweeps
-from .catalog import P, _CAND, _pairs, _r, _table, query
+from .catalog import P, _r, _table, query
 
 _SCENE, _HOLES = raycast.drive_scene()
 _TIME, _OX, _OY, _OZ = 0.4, 0.0, -2.5, 1.73
@@ -108,9 +108,7 @@ def label_statistics(spark, sf):
 
 @query("SELECT event_type AS stage, round(avg(value), 7) AS mean, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM events) WHERE r > 2 GROUP BY event_type")
 def stage_means(spark, sf):
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    ev = _table(spark, sf, "events").withColumn("r", F.row_number().over(w)).filter("r > 2")
-    return ev.groupBy(F.col("event_type").alias("stage")).agg(F.round(F.avg("value"), 7).alias("mean"), F.count("*").alias("n"))
+    return metrics.stage_means(_table(spark, sf, "events"), "event_type", ["ts", "event_id"], "value").select("stage", *_r(7, "mean"), "n")
 
 
 @query(P + """, m AS (SELECT frame, max(inten * 100) AS top FROM pts WHERE frame % 2 = 0 GROUP BY frame)
@@ -121,22 +119,6 @@ def intensity_scaled(spark, sf):
 
 
 @query(P + """, k AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY md5('overlay:' || pid), pid, x, y) AS r FROM pts)
-SELECT frame, pid, x, y FROM k WHERE r <= 500""")
+SELECT frame, pid, x, y FROM k WHERE r <= 12000""")
 def overlay_sample(spark, sf):
-    return rangeimage.overlay_sample(sweeps.pseudo_points(spark, sf), 500).select("frame", "pid", "x", "y")
-
-
-_NEAR = P + _CAND.replace("cand AS", "_unused AS", 1) + """,
-pred AS (SELECT frame, cls, pid, wx AS x, wy AS y FROM once WHERE cls >= 6), truth AS (SELECT frame, label AS cls, wx + 0.25 AS x, wy - 0.5 AS y FROM once WHERE label >= 6),
-near AS (SELECT p.frame, p.pid, p.cls, bool_or(t.cls = p.cls) AS fragment, bool_or(t.cls <> p.cls) AS other_class FROM pred p JOIN truth t ON t.frame = p.frame AND (p.x - t.x) ** 2 + (p.y - t.y) ** 2 < 9e0 GROUP BY ALL)
-SELECT p.frame, p.cls, p.pid, coalesce(fragment, false) AS fragment, coalesce(other_class, false) AS other_class FROM pred p LEFT JOIN near USING (frame, pid, cls)"""
-
-
-@query(_NEAR)
-def false_detection_kinds(spark, sf):
-    return objects.near_truth(*_pairs(spark, sf)).select("frame", "cls", "pid", "fragment", "other_class")
-
-
-@query(f"SELECT CAST(cls AS INTEGER) AS cls, count(*) AS n, round(avg(CAST(fragment AS INTEGER)), 9) AS fragments, round(avg(CAST(other_class AS INTEGER)), 9) AS other_class, round(quantile_cont(pid, 0.25), 6) AS q25, round(quantile_cont(pid, 0.5), 6) AS q50, round(quantile_cont(pid, 0.75), 6) AS q75 FROM ({_NEAR}) GROUP BY cls")
-def object_diagnostics(spark, sf):
-    return metrics.diagnostics(objects.near_truth(*_pairs(spark, sf)), "pid").select("cls", "n", *_r(9, "fragments", "other_class"), *_r(6, "q25", "q50", "q75"))
+    return rangeimage.overlay_sample(sweeps.pseudo_points(spark, sf)).select("frame", "pid", "x", "y")

@@ -59,20 +59,20 @@ def test_fusion_by_replay(spark):
 
 
 def test_painted_objects(spark):
-    u, v = np.cos(0.5), np.sin(0.5)
-    cells = []
-    for i in range(-200, 200):
-        for j in range(-200, 200):
-            dx, dy = (i + 0.5) * 0.05 - 3.0, (j + 0.5) * 0.05 - 2.0
-            if abs(dx * u + dy * v) <= 2.0 and abs(-dx * v + dy * u) <= 0.9:
-                cells.append((1, 0, i, j, 7, 0, 1.5, False))
-    cells += [(1, 1, 6, 4, 7, 0, 1.5, True), (1, 1, 100, 100, 6, 3, 1.0, False)]
+    """A truck, a far pole that is too old, a coarse copy that the fine window covers, and a walker that moves."""
+    u, v = np.cos(-0.3), np.sin(-0.3)
+    at = lambda k: (k + 0.5) * 0.05
+    inside = lambda x, y: abs((x + 5.2) * u + (y - 3.1) * v) <= 3.25 and abs((y - 3.1) * u - (x + 5.2) * v) <= 1.15
+    cells = [(1, 0, i, j, 7, 0, 2.4, False) for i in range(-200, 200) for j in range(-200, 200) if inside(at(i), at(j))]
+    cells += [(1, 1, -10, 6, 7, 0, 2.4, True), (1, 1, 90, -70, 6, 3, 1.0, False), (1, 1, 91, -70, 6, 3, 1.0, False)]
     df = spark.createDataFrame(cells, "frame int, tier int, ci long, cj long, eff_cls int, age int, z_max double, covered boolean")
-    dyn = spark.createDataFrame([(1, 0, -80, 80, 8, False), (1, 0, -80, 81, 8, False)], "frame int, tier int, ci long, cj long, cls int, covered boolean")
+    dyn = spark.createDataFrame([(1, 0, 60, -33, 8, False), (1, 0, 60, -32, 8, False)], "frame int, tier int, ci long, cj long, cls int, covered boolean")
     got = {r.cls: r for r in objects.extract(df, dyn).collect()}
-    car = got[7]
-    assert (car.x, car.y, car.length, car.width, car.yaw) == pytest.approx((3.0, 2.0, 4.0, 1.8, 0.5), abs=0.1) and not car.moving
+    truck = got[7]
+    assert (truck.x, truck.y, truck.length, truck.width, truck.yaw) == pytest.approx((-5.2, 3.1, 6.5, 2.3, -0.3), abs=0.12) and not truck.moving
     assert got[8].moving and got[8].z_top is None and 6 not in got
+    assert (got[8].x, got[8].y) == pytest.approx((3.025, -1.6)) and {r.cls for r in objects.reported(objects.extract(df, dyn)).collect()} == {7}
+    assert objects.pack(objects.extract(df, dyn)).filter("cls = 7").first().length == pytest.approx(6.5, abs=0.12)
 
 
 def test_matching(spark):
@@ -89,28 +89,6 @@ def test_latency_and_late_frames(spark):
     assert skipped == 3 and len(done) == 7
 
 
-def test_kitti_round_trip(spark, tmp_path):
-    rng = np.random.default_rng(4)
-    for d in ("velodyne", "labels"):
-        (tmp_path / d).mkdir()
-    pts = rng.normal(size=(500, 4)).astype("<f4") * 5
-    raw = rng.choice([40, 10, 252, 99, 7], 500).astype("<u4") | (7 << 16)
-    pts.tofile(tmp_path / "velodyne/000003.bin")
-    raw.tofile(tmp_path / "labels/000003.label")
-    got = {r.pid: r for r in kitti.frames(spark, str(tmp_path)).collect()}
-    keep = np.hypot(pts[:, 0], pts[:, 1]) > 1.0
-    assert set(got) == set(np.nonzero(keep)[0])
-    want = {40: (0, False), 10: (7, False), 252: (7, True), 99: (5, False), 7: (-1, False)}
-    assert all((got[k].label, got[k].moving) == want[int(raw[k] & 0xFFFF)] for k in got)
-
-
-def test_cache_is_resumable(spark, tmp_path):
-    df = spark.createDataFrame([("a", 1), ("b", 2)], "seq string, frame int")
-    assert sweeps.append_missing(df.filter("seq = 'a'"), f"{tmp_path}/c") == 1
-    assert sweeps.append_missing(df, f"{tmp_path}/c") == 1
-    assert spark.read.parquet(f"{tmp_path}/c").count() == 2
-
-
 def test_stream_equals_batch(spark, tmp_path):
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     ev.write.parquet(f"{tmp_path}/in")
