@@ -152,11 +152,12 @@ def step(state: dict | None, o, alpha: float) -> dict:
     }
 
 
-def cell_state(observed: DataFrame, profile="spec", idle_ms: int = 600_000) -> DataFrame:
+def cell_state(observed: DataFrame, profile="spec", idle_ms: int | None = None) -> DataFrame:
     """A stream of fusion.epochs() folded into keyed state, a row each time a cell is seen: seq, tier, ci, cj and the layers.
 
-    State of an earlier epoch (the window has left the cell since) is forgotten; state that nothing
-    has touched for `idle_ms` of processing time is removed.  Observations at or before the last frame seen are dropped."""
+    State of an earlier epoch (the window has left the cell since) is forgotten; with `idle_ms`, state that
+    nothing has touched for so long in processing time is removed too (such a query goes on without new
+    data, so it is not for a trigger that ends).  Observations at or before the last frame seen are dropped."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     alphas = [t.alpha for t in tiers(profile)]
@@ -176,10 +177,11 @@ def cell_state(observed: DataFrame, profile="spec", idle_ms: int = 600_000) -> D
                 epoch, now = int(o.epoch), None
             now = step(now, _Seen(o), alphas[int(key[1])])
         state.update((epoch, *[now[n] for n in names]))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame([[*key, *[now[n] for n in names]]], columns=["seq", "tier", "ci", "cj", *names])
 
-    return observed.groupBy("seq", "tier", "ci", "cj").applyInPandasWithState(fold, f"seq string, tier int, ci long, cj long, {kinds}", f"epoch int, {kinds}", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return observed.groupBy("seq", "tier", "ci", "cj").applyInPandasWithState(fold, f"seq string, tier int, ci long, cj long, {kinds}", f"epoch int, {kinds}", "update", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 class _Seen:
