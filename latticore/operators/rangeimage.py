@@ -67,6 +67,12 @@ def row_tables(points: DataFrame, rows: int = 64, sensor: tuple[float, float, fl
     return t.select(*on, F.transform("t", lambda x: x["elev"]).alias("table"))
 
 
+def seen_earlier(points: DataFrame, frames: DataFrame, lags: tuple[int, ...] = (1, 2), rows: int = 64, width: int = 1024, sensor: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
+    """earlier() with lag, row, col and range in the later frame's image: the row whose mean elevation there lies nearest."""
+    p = earlier(points, frames, lags).join(row_tables(points, rows, sensor), [*drive(points), "frame"])
+    return project(p, row_of(elevation(sensor), F.col("table"), rows), width, rows, sensor).drop("table")
+
+
 def features(points: DataFrame, frames: DataFrame, lags: tuple[int, ...] = (1, 2), rows: int = 64, width: int = 1024, sensor: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
     """Eight channels of every pixel: range, place, intensity, validity, and residuals to earlier frames.
 
@@ -75,8 +81,7 @@ def features(points: DataFrame, frames: DataFrame, lags: tuple[int, ...] = (1, 2
     points(frame, pid, x, y, z, inten, ring, wx, wy, wz) of binning.world()."""
     on = [*drive(points), "frame"]
     pixels = nearest(project(points, width=width, rows=rows, sensor=sensor))
-    before = earlier(points, frames, lags).join(row_tables(points, rows, sensor), on)
-    before = project(before, row_of(elevation(sensor), F.col("table"), rows), width, rows, sensor)
+    before = seen_earlier(points, frames, lags, rows, width, sensor)
     before = before.groupBy(*on, "lag", "row", "col").agg(F.min("range").alias("_was")).groupBy(*on, "row", "col").agg(*[F.min(F.when(F.col("lag") == k, F.col("_was"))).alias(f"_r{i}") for i, k in enumerate(lags)])
     out = pixels.join(before, [*on, "row", "col"], "left")
     res = [F.coalesce(F.least(F.greatest(5 * F.abs(F.col("range") - F.col(f"_r{k}")) / F.greatest(F.col("range"), F.lit(1e-3)), F.lit(0.0)), F.lit(1.0)), F.lit(0.0)).alias(f"f{6 + k}") for k in range(len(lags))]
@@ -109,16 +114,23 @@ def paint(points: DataFrame, pixels: DataFrame) -> DataFrame:
 def row_of(elev: Column, table: list[float] | Column, rows: int | None = None) -> Column:
     """Image row of an elevation by linear interpolation in a table of row elevations (top first, falling), a list or an array column of `rows` entries.
 
-    Beyond half a row's spacing outside the table it is -1; halves go to the even row."""
+    Beyond half a row's spacing outside the table it is -1; halves go to the even row.  The elevation
+    and its place in the table are bound as lambda variables, so that they are worked out once however
+    often the optimizer repeats the expression's parts."""
     rows = rows or len(table)
     tab = table if isinstance(table, Column) else F.array(*[F.lit(float(v)) for v in table])
     first, last = F.get(tab, F.lit(0)), F.get(tab, F.lit(rows - 1))
     half = F.abs(first - last) / max(rows - 1, 1) / 2
-    at = F.size(F.filter(tab, lambda v: v > elev))  # the first row that does not lie above
-    hi, lo = F.get(tab, at - 1), F.get(tab, at)
-    inner = F.rint(at - 1 + (hi - elev) / F.nullif(hi - lo, F.lit(0.0))).cast("int")
-    row = F.when((elev > first + half) | (elev < last - half), -1).when(elev >= first, 0).when(elev <= last, rows - 1)
-    return row.otherwise(inner)
+
+    def placed(e: Column, at: Column) -> Column:  # at: the first row that does not lie above
+        hi, lo = F.get(tab, at - 1), F.get(tab, at)
+        inner = F.rint(at - 1 + (hi - e) / F.nullif(hi - lo, F.lit(0.0))).cast("int")
+        return F.when((e > first + half) | (e < last - half), -1).when(e >= first, 0).when(e <= last, rows - 1).otherwise(inner)
+
+    def one(e: Column) -> Column:
+        return F.get(F.transform(F.array(F.size(F.filter(tab, lambda v: v > e))), lambda at: placed(e, at)), F.lit(0))
+
+    return F.get(F.transform(F.array(elev), one), F.lit(0))
 
 
 def scale_intensity(points: DataFrame, col: str = "inten", most: float = 1.5) -> DataFrame:

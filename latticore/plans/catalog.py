@@ -166,9 +166,7 @@ was AS (SELECT frame, lag, row, col, min(range) AS range FROM rowed WHERE row BE
 
 @query(P + _EARLIER + " SELECT frame, lag, row, col, round(range, 7) AS range FROM was")
 def earlier_images(spark, sf):
-    pts = _world(spark, sf)
-    before = rangeimage.earlier(pts, sweeps.pseudo_frames(spark)).join(rangeimage.row_tables(pts), "frame")
-    before = rangeimage.project(before, rangeimage.row_of(rangeimage.elevation(), F.col("table"), 64))
+    before = rangeimage.seen_earlier(_world(spark, sf), sweeps.pseudo_frames(spark))
     return before.groupBy("frame", "lag", "row", "col").agg(F.round(F.min("range"), 7).alias("range"))
 
 
