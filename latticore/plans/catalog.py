@@ -51,7 +51,8 @@ def _table(spark, sf, name):
 
 
 def _r(n, *cols):
-    return [F.round(F.col(c), n).alias(c) for c in cols]
+    """Rounded columns; a zero has no sign."""
+    return [(F.round(F.col(c), n) + F.lit(0.0)).alias(c) for c in cols]
 
 
 def _tier_values(profile):
@@ -78,7 +79,7 @@ stats AS (
     min(wz) FILTER (NOT moving AND cls >= 4) AS zmin_ng, {_MASS}
   FROM placed GROUP BY frame, tier, ci, cj)"""
 _STAT_COLS = ["frame", "tier", "ci", "cj", "n_pts", "n_static", "n_ground", "n_dyn", "n_dyn_person", "z_min", "z_max"]
-_BIN_SQL = STATS + "\nSELECT " + ", ".join(_STAT_COLS) + ", round(ground, 9) AS ground, round(rough, 7) AS rough, zmin_ng, " + ", ".join(f"ps{c}, pa{c}" for c in range(9)) + " FROM stats"
+_BIN_SQL = STATS + "\nSELECT " + ", ".join(_STAT_COLS) + ", round(ground, 9) + 0e0 AS ground, round(rough, 7) AS rough, zmin_ng, " + ", ".join(f"ps{c}, pa{c}" for c in range(9)) + " FROM stats"
 
 
 def _bin(spark, sf, profile):
@@ -303,7 +304,7 @@ def fuse_class(spark, sf):
     return _map(spark, sf).select("tier", "ci", "cj", "cls", "conf", "gcls")
 
 
-@query(_rec(P + _placed() + STATS + FUSED + " SELECT tier, ci, cj, round(ground, 6) AS ground, round(rough, 4) AS rough, round(z_min, 6) AS z_min, round(z_max, 6) AS z_max, CAST(count AS INTEGER) AS count, CAST(clear AS INTEGER) AS clear FROM layers"))
+@query(_rec(P + _placed() + STATS + FUSED + " SELECT tier, ci, cj, round(ground, 6) + 0e0 AS ground, round(rough, 4) AS rough, round(z_min, 6) + 0e0 AS z_min, round(z_max, 6) + 0e0 AS z_max, CAST(count AS INTEGER) AS count, CAST(clear AS INTEGER) AS clear FROM layers"))
 def fuse_heights(spark, sf):
     return _map(spark, sf).select("tier", "ci", "cj", *_r(6, "ground"), *_r(4, "rough"), *_r(6, "z_min", "z_max"), "count", "clear")
 
@@ -386,12 +387,12 @@ def tile_bits(spark, sf):
     return _tile(spark, sf)
 
 
-@query(_rec(MAP + _ROAD + ", b AS (SELECT bi, bj, w, round(sum(ground), 6) AS wz, round(sum(ground * ground), 6) AS wzz FROM blk JOIN road ON bi = floor(ci / 5e0) AND bj = floor(cj / 5e0) GROUP BY ALL) SELECT * FROM b"))
+@query(_rec(MAP + _ROAD + ", b AS (SELECT bi, bj, w, round(sum(ground), 6) + 0e0 AS wz, round(sum(ground * ground), 6) AS wzz FROM blk JOIN road ON bi = floor(ci / 5e0) AND bj = floor(cj / 5e0) GROUP BY ALL) SELECT * FROM b"))
 def block_moments(spark, sf):
     return D.block_moments(_road(spark, sf)).select("bi", "bj", "w", *_r(6, "wz", "wzz"))
 
 
-@query(_rec(MAP + _ROAD + " SELECT ci, cj, round(ref, 6) AS ref, round(sigma, 6) AS sigma FROM planes"))
+@query(_rec(MAP + _ROAD + " SELECT ci, cj, round(ref, 6) + 0e0 AS ref, round(sigma, 6) AS sigma FROM planes"))
 def ground_plane(spark, sf):
     return D.ground_plane(_road(spark, sf)).select("ci", "cj", *_r(6, "ref", "sigma"))
 
