@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticore.llm import decontam, jaccard, mixing, quality, shard
-from latticore.llm.common import new_path, release, save, table
+from latticore.llm import decontam, jaccard, mixing, quality, shard, simhash
+from latticore.llm.common import drop, join_heavy, new_path, release, save, table
+from latticore.llm.graph import components
 
 ACCEPT = 0.7
 
@@ -23,23 +24,46 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs, written once with a key for each row, and that column's name: doc_id may be null or shared."""
-    release(docs.sparkSession)  # shuffles of the stage before
+    """docs with a key for each row, and that column's name: doc_id may be null or shared.
+
+    Rows of plain Parquet files have the file's number and their place in it, so nothing is copied; others are written once."""
+    spark = docs.sparkSession
+    release(spark)  # shuffles of the stage before
     name = "_row"
     while name in docs.columns:
         name += "_"
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.nodeName().startswith("LogicalRelation") and "_metadata" not in docs.columns:
+        files = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())  # a row a file
+        if len(files) < 1 << 22:
+            number = spark.createDataFrame(list(enumerate(files)), "n long, file string")
+            own = docs.withColumns({"\x00at": F.col("_metadata.row_index"), "\x00file": F.col("_metadata.file_path")})
+            key = (F.shiftleft("\x00n", 40) + F.col("\x00at")).alias(name)
+            names = number.select(F.col("n").alias("\x00n"), F.col("file").alias("\x00file"))
+            return own.join(F.broadcast(names), "\x00file").select(*[F.col(f"`{c}`") for c in docs.columns], key), name
     return save(docs.withColumn(name, F.monotonically_increasing_id()), "keyed"), name
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near copies (Jaccard of 5-word shingles 0.8 or more): the one with the least doc_id, a null one last.
+    """One row of each component of near copies: the one with the least doc_id, a null one last.
 
-    Links are exact (SimHash fingerprints within 4 bits, op1's, miss most such pairs: see the README).
+    Two rows are linked if their SimHash fingerprints lie within 4 bits (op1's operator), and also if their texts
+    have a Jaccard similarity of 5-word shingles of 0.8 or more, as fingerprints of such pairs may lie further apart.
     Rows are told apart by a key of their own, so a shared or null doc_id neither saves nor drops any."""
     rows, row = keyed(docs)
-    found = jaccard.near_duplicates(rows, id_col=row).select(F.col("id").alias(row), "component_id")
+    near = save(simhash.near_duplicates(rows, id_col=row).select("id", F.col("component_id").alias("near")), "near")
+    release(spark)
+    exact = save(jaccard.near_duplicates(rows, id_col=row).select("id", F.col("component_id").alias("node")), "exact")
+    release(spark)
+    least = exact.groupBy("node").agg(F.min("id").alias("exact"), F.count("*").alias("n"))
+    both = join_heavy(exact, least, "node", "n", exact.count()).join(near, "id").select(F.col("near").alias("u"), F.col("exact").alias("v"))
+    comp = components(both)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(row).alias("r"))).alias("first")
-    kept = rows.select(row, "doc_id").join(found, row).groupBy("component_id").agg(first).select(F.col("first.r").alias(row))
+    per = rows.select(row, "doc_id").join(near.withColumnRenamed("id", row), row).groupBy("near").agg(first)
+    per = per.join(comp.withColumnRenamed("node", "near"), "near", "left").groupBy(F.coalesce("component", "near").alias("c"))
+    kept = save(per.agg(F.min("first")["r"].alias(row)), "kept")
+    drop(near, exact, comp)
+    release(spark)
     return rows.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

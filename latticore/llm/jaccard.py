@@ -125,10 +125,11 @@ def _nodes(texts: DataFrame) -> DataFrame:
 
 def crowded(counts: DataFrame) -> np.ndarray:
     """counts(bucket, count) -> level of each bucket: 0, or more the more shingles it holds above twice the mean."""
-    sums = counts.groupBy("bucket").agg(F.sum("count").alias("n")).toPandas()  # a row a bucket, however many shingles
+    sums = counts.groupBy("bucket").agg(F.sum("count").alias("n")).toArrow()  # a row a bucket, however many shingles
+    bucket, n = (sums.column(k).to_numpy().astype(np.int64) for k in (0, 1))
     out = np.zeros(BUCKETS, np.uint8)
-    high = sums[sums["n"] > 2 * sums["n"].sum() / BUCKETS + 8]
-    out[high["bucket"].to_numpy(np.int64)] = [int(n).bit_length() for n in high["n"]]
+    high = n > 2 * n.sum() / BUCKETS + 8
+    out[bucket[high]] = [int(k).bit_length() for k in n[high]]
     return out
 
 
@@ -194,6 +195,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     few = sets.select("node", "set").join(own, "node", "left_semi")
     out = save(_both(close, few, similar), name)
     drop(close)
+    release(sets.sparkSession)
     return out
 
 
@@ -215,6 +217,7 @@ def _apart(held: DataFrame, times: int = 1) -> DataFrame:
         then = save(met.join(own, "node").filter(F.expr(f"exists(_sizes, m -> {_may('n', 'm', '_c')})")).drop("_sizes", "_c"), "apart")
         drop(held)
         held = then
+        release(held.sparkSession)
     return held
 
 
@@ -231,10 +234,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # tokens of two sets, then the rows of those alone
     met = _prefixes(texts, crowd).groupBy("token").agg(F.min("node").alias("p"), F.max("node").alias("q")).filter("p < q").select("token")
     met = save(met, "met")
+    release(spark)
     held = save(_prefixes(texts, crowd, marks(met, "token")).join(met, "token", "left_semi").dropDuplicates(["token", "node"]), "held")
     held = _apart(held.withColumn("label", F.col("node")), 2)
     only = marks(held, "node")
     sets = save(_sets(texts, only).groupBy("node").agg(F.first("set").alias("set"), F.first("bins").alias("bins")), "sets")
+    release(spark)
     # the centre of a group of copies has the most of its prefix in common with the most others
     crowds = held.groupBy("token").agg(F.count("*").alias("c"))
     score = held.join(crowds, "token").groupBy("node").agg((F.sum("c") / F.expr(f"any_value(n) - (4 * any_value(n) + 4) div 5 + 1 + any_value(n) div {SHARE}")).alias("score"))
@@ -259,6 +264,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = now.select("token", "node", "n", "label")
     more = across(labelled, "token", "label").groupBy(F.col("x.node").alias("u"), F.col("x.n").alias("a"), F.col("y.node").alias("v"), F.col("y.n").alias("b")).count().filter(_may("a", "b", "count"))
     more = save(more.select("u", "v", "count"), "more")
+    release(spark)
     # the partner that a set meets most comes first; then only what these links leave apart
     links = links.union(_verified(more.groupBy("u").agg(F.max(F.struct("count", "v"))["v"].alias("v")), sets, "best"))
     found = save(components(links), "found")
