@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, slices
-from .sample import fit_logistic, hash_sample, sigmoid
+from .common import drop, held_out, save, slices
+from .sample import fit_logistic, sigmoid
 
 _KIND = np.zeros(256, np.int64)  # 0 other ASCII signs, 1 lower, 2 upper, 3 digit, 4 space, 5 line end, 6 .,;:' 7 !? 8 UTF-8 lead or tail bytes
 _KIND[ord("a") : ord("z") + 1] = 1
@@ -34,6 +34,8 @@ _KIND[[ord(c) for c in ".,;:'\"-()"]] = 6
 _KIND[[ord(c) for c in "!?"]] = 7
 _KIND[128:] = 8
 CLASSES = 32
+PAIRS = 40_000
+L2 = 2.0
 N_FEATURES = 19 + CLASSES
 
 
@@ -83,55 +85,132 @@ class Model:
         return sigmoid(base + (self.strength(x) - self.threshold) / self.unit)
 
 
-def preferences(diff: np.ndarray, won: np.ndarray, l2: float = 2.0) -> np.ndarray:
+def preferences(diff: np.ndarray, won: np.ndarray, l2: float = L2) -> np.ndarray:
     """Weights of least Bradley-Terry loss, sum of log(1 + exp(-+ diff . w)), plus l2 / 2 * |w|^2."""
     return fit_logistic(diff, won, l2=l2, intercept=False)[:-1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, pairs: int = 40000, accept: float = 0.7, seed: int = 7) -> Model:
-    """Learn from at most `most` labelled documents of each label (a bounded sample by hash of
-    doc_id) and `pairs` preference pairs drawn from them.  Null labels are ignored; without both
-    labels every document gets the accept score."""
-    marks = labels.filter("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", F.col("text").cast("binary").alias("text"))  # rows of one id are learned from each
-    share = {r.quality: r.n for r in marks.filter(~held_out(F.col("doc_id"))).groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    drawn = marks.filter(~held_out(F.col("doc_id")))
-    ids = [(r.doc_id, q) for q in (0, 1) for r in hash_sample(drawn.filter(F.col("quality") == q), "doc_id", most)]
-    spark = docs.sparkSession
-    x0 = x1 = np.zeros((0, N_FEATURES))
-    if ids:  # 2 * most ids and labels at most: broadcast, so that no text is shuffled
-        wanted = F.broadcast(spark.createDataFrame(ids, "doc_id long, quality int"))
-        rows = _featured(known.join(wanted, "doc_id").select("text", "quality")).collect()
-        x1 = np.array([r.f for r in rows if r.quality == 1]).reshape(-1, N_FEATURES)
-        x0 = np.array([r.f for r in rows if r.quality == 0]).reshape(-1, N_FEATURES)
-    both = np.vstack([x0, x1])
-    if not len(x0) or not len(x1):
-        return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), 0.0, 1.0, accept)
-    mean, scale = both.mean(0), np.maximum(both.std(0), 1e-6)
-    rng = np.random.default_rng(seed)
-    a, b = x1[rng.integers(0, len(x1), pairs)], x0[rng.integers(0, len(x0), pairs)]
-    diff = (a - b) / scale
-    sign = np.where(np.arange(pairs) % 2 == 0, 1.0, -1.0)  # both orders, so that the loss sees wins and losses
-    w = preferences(diff * sign[:, None], (sign > 0).astype(float))
-    s0, s1 = ((x0 - mean) / scale) @ w, ((x1 - mean) / scale) @ w
-    # the quantile of all strengths that cuts off the rejected share; classes were sampled apart, so rows are weighed
-    n0, n1 = share.get(0, 1), share.get(1, 1)
-    s, wt = np.concatenate([s0, s1]), np.concatenate([np.full(len(s0), n0 / len(s0)), np.full(len(s1), n1 / len(s1))])
-    order = np.argsort(s, kind="stable")
-    cum = np.cumsum(wt[order])
-    at = min(int(np.searchsorted(cum, n0, side="left")), len(s) - 2)
-    threshold = (s[order][at] + s[order][at + 1]) / 2
-    unit = max((np.median(s1) - np.median(s0)) / 8, 1e-6)
-    return Model(mean, scale, w, float(threshold), float(unit), accept)
+def _blocks(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and Hessian of the loss, log(1 + exp(-w . (x - y))), summed over all pairs of rows x of a and y of b."""
+    g, h = np.zeros(len(w)), np.zeros((len(w), len(w)))
+    for i in range(0, len(a), 512):
+        for j in range(0, len(b), 512):
+            x, y = a[i : i + 512], b[j : j + 512]
+            lost = sigmoid((y @ w)[None, :] - (x @ w)[:, None])
+            both = lost * (1 - lost)
+            g -= lost.sum(1) @ x - lost.sum(0) @ y
+            cross = x.T @ both @ y
+            h += (x.T * both.sum(1)) @ x + (y.T * both.sum(0)) @ y - cross - cross.T
+    return g, h
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, N_FEATURES)
+
+
+def _sums(df: DataFrame, run) -> np.ndarray:
+    """Sum over all tasks of the arrays that run(batches) gives, one a task."""
+    tasks = df.mapInArrow(lambda batches: iter([pa.RecordBatch.from_arrays([pa.array([run(batches).tobytes()], pa.binary())], ["v"])]), "v binary").collect()
+    return sum(np.frombuffer(r.v, np.float64) for r in tasks)
+
+
+def _deal(known: DataFrame, n0: int, n1: int) -> DataFrame:
+    """known(quality, f, h) -> (good, bad): lists of features to compare, all with all, such that every row stands in one.
+
+    About 128 rows of the rarer label meet up to 1024 or so of the other; where that has more, the rarer rows meet each part of them."""
+    rare = 1 if n1 <= n0 else 0
+    k = max(1, min(n0, n1) // 128)
+    parts = max(1, max(n0, n1) // (k * 1024))
+    of = F.when(F.col("quality") == rare, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.pmod(F.xxhash64("h"), F.lit(parts)).cast("int")))
+    dealt = known.select(F.pmod("h", F.lit(k)).alias("k"), F.explode(of).alias("part"), "quality", "f")
+    side = lambda q, name: F.sort_array(F.collect_list(F.when(F.col("quality") == q, F.col("f")))).alias(name)
+    return dealt.groupBy("k", "part").agg(side(1, "good"), side(0, "bad")).sortWithinPartitions("k", "part").select("good", "bad")
+
+
+def order_statistics(values: DataFrame, col: str, ranks: list[int], few: int = 20_000) -> list[float]:
+    """The values of these ranks (from 0) in rising order, exactly: ranges are narrowed by counts until few values are left."""
+    out = []
+    for rank in ranks:
+        now = values
+        while True:
+            n, lo, hi = now.agg(F.count(col), F.min(col), F.max(col)).first()
+            if n <= few or lo == hi:
+                out.append(lo if lo == hi else sorted(r[0] for r in now.select(col).collect())[rank])
+                break
+            bin_ = F.least(F.floor((F.col(col) - lo) * (4096 / (hi - lo))), F.lit(4095))
+            for r in sorted(now.groupBy(bin_.alias("b")).count().collect()):
+                if rank < r["count"]:
+                    now = now.filter(bin_ == r.b)
+                    break
+                rank -= r["count"]
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, accept: float = 0.7, rounds: int = 60) -> Model:
+    """Learn from every labelled document that is not held out: each is compared with about 128 or more of the other label (see _deal).
+
+    The pairs' mean loss counts as that of PAIRS pairs beside the ridge penalty.  Null labels are ignored; without both
+    labels every document gets the accept score.  Rows of one id are learned from each."""
+    marks = labels.filter("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality")).filter(~held_out(F.col("doc_id")))
 
+    @F.arrow_udf("binary")
+    def featured(texts: pa.Array) -> pa.Array:
+        return pa.array([features(t.as_py()).tobytes() for t in texts], pa.binary())
 
-def _featured(df: DataFrame) -> DataFrame:
-    def run(batches):
+    # features, not texts, meet the labels: they are smaller
+    own = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", featured(F.col("text").cast("binary")).alias("f"))
+    known = own.join(marks, "doc_id").select(F.col("quality").cast("int").alias("quality"), "f", F.xxhash64("doc_id", "f").alias("h"))
+    known = save(known, "known")
+
+    def moments(batches) -> np.ndarray:
+        out = np.zeros((2, 1 + 2 * N_FEATURES))
         for b in slices(batches):
-            f = [features(t.as_py()).tolist() for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.float64())), b.column(1)], ["f", "quality"])
+            x, q = _rows(b.column(0)), b.column(1).to_numpy()
+            for k in (0, 1):
+                out[k] += np.concatenate([[(q == k).sum()], x[q == k].sum(0), (x[q == k] ** 2).sum(0)])
+        return out.ravel()
+
+    first = np.reshape(_sums(known.select("f", "quality"), moments), (-1, 1 + 2 * N_FEATURES)) if known.take(1) else np.zeros((2, 1))
+    n0, n1 = (int(n) for n in first[:, 0])
+    if not n0 or not n1:
+        drop(known)
+        return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), 0.0, 1.0, accept)
+    total = first.sum(0)[1:] / (n0 + n1)
+    mean = total[:N_FEATURES]
+    scale = np.maximum(np.sqrt(np.maximum(total[N_FEATURES:] - mean**2, 0)), 1e-6)
+    pairs = save(_deal(known, n0, n1), "pairs")
+    w = np.zeros(N_FEATURES)
+
+    def step(batches) -> np.ndarray:
+        out = np.zeros(1 + N_FEATURES + N_FEATURES**2)
+        for b in slices(batches, 16):
+            for good, bad in zip(b.column(0), b.column(1), strict=True):
+                if len(good) and len(bad):
+                    g, h = _blocks(_rows(good.values) / scale, _rows(bad.values) / scale, w)
+                    out += np.concatenate([[len(good) * len(bad)], g, h.ravel()])
+        return out
 
-    return df.select("text", F.col("quality").cast("int").alias("quality")).mapInArrow(run, "f array<double>, quality int")
+    for _ in range(rounds):
+        got = _sums(pairs, step)
+        share = PAIRS / max(got[0], 1)
+        g = share * got[1 : 1 + N_FEATURES] + L2 * w
+        h = share * got[1 + N_FEATURES :].reshape(N_FEATURES, -1) + (L2 + PAIRS * 1e-9) * np.eye(N_FEATURES)
+        move = np.linalg.solve(h, g)
+        w = w - move
+        if np.abs(move).max() < 1e-6:
+            break
+
+    def strengths(batches):
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(((_rows(b.column(1)) - mean) / scale) @ w)], ["quality", "s"])
+
+    s = save(known.select("quality", "f").mapInArrow(strengths, "quality int, s double"), "strengths")
+    # the threshold cuts off as many as the labels reject
+    threshold = sum(order_statistics(s, "s", [n0 - 1, n0])) / 2
+    median = lambda q, n: sum(order_statistics(s.filter(F.col("quality") == q), "s", [(n - 1) // 2, n // 2])) / 2
+    unit = max((median(1, n1) - median(0, n0)) / 8, 1e-6)
+    drop(known, pairs, s)
+    return Model(mean, scale, w, float(threshold), float(unit), accept)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
