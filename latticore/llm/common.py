@@ -146,6 +146,7 @@ def across(rows: DataFrame, key: str, label: str) -> DataFrame:
     (those whose key marks() has found to hold several labels): they are written once more."""
     several = rows.groupBy(key).agg(F.min(label).alias("_p"), F.max(label).alias("_q")).filter("_p < _q").select(key)
     rows = save(rows.join(several, key), "across")
+    release(rows.sparkSession)
     kinds = rows.select(key, label).distinct()
     p, q = kinds.withColumnRenamed(label, "_p"), kinds.withColumnRenamed(label, "_q")
     meet = p.join(q, key).filter("_p < _q")

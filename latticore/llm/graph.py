@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, join_heavy, save
+from .common import drop, join_heavy, release, save
 
 
 def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
@@ -36,6 +36,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = save(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
     for _ in range(most_rounds):
+        release(now.sparkSession)  # shuffles of the round before, or of what made the edges
         got = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
         if tuple(got) == mark or got[0] == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import across, join_heavy, marked, marks, save, slices
+from .common import across, join_heavy, marked, marks, release, save, slices
 from .graph import components
 from .hashing import mix64
 
@@ -187,6 +187,7 @@ def candidates(labelled: DataFrame) -> DataFrame:
     dealt = _keys(labelled, True).select("key", "label").repartition("key")
     several = dealt.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).filter("p < q").select("key")
     held = marks(several, "key")
+    release(labelled.sparkSession)
     return across(_keys(labelled, True, held), "key", "label")
 
 
