@@ -20,10 +20,14 @@ def elevation(sensor: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> Column:
 
 
 def project(points: DataFrame, row: str | Column = "ring", width: int = 1024, rows: int = 64, sensor: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
-    """Adds row, col and range as seen from the sensor's place in the ego frame; drops points outside the image or within 0.5 m."""
+    """Adds row, col and range as seen from the sensor's place in the ego frame; drops points outside the image or within 0.5 m.
+
+    The three come out of a generator of one row, which the optimizer can't push the filter through: below the projections that
+    made the points it would repeat all their expressions many times, in one method too long for the JVM to compile."""
     x, y, z = _from(sensor)
     r = F.col(row) if isinstance(row, str) else row
-    p = points.withColumn("row", r.cast("int")).withColumn("col", column_of(x, y, width)).withColumn("range", F.sqrt(x * x + y * y + z * z))
+    own = F.struct(r.cast("int").alias("row"), column_of(x, y, width).alias("col"), F.sqrt(x * x + y * y + z * z).alias("range"))
+    p = points.select(*[c for c in points.columns if c not in ("row", "col", "range")], F.inline(F.array(own)))
     return p.filter(F.col("row").between(0, rows - 1) & (F.col("range") > 0.5))
 
 
@@ -67,10 +71,26 @@ def row_tables(points: DataFrame, rows: int = 64, sensor: tuple[float, float, fl
     return t.select(*on, F.transform("t", lambda x: x["elev"]).alias("table"))
 
 
+def with_row(points: DataFrame, elev: Column, rows: int = 64) -> DataFrame:
+    """points(table, ...) with `row`, the row_of() their elevation in their table, in compiled code: how many rows lie above is
+    found by halving in the sorted table, a projection a step."""
+    p = points.withColumns({"_e": elev, "_at": F.lit(0)})
+    step = 1 << (rows.bit_length() - 1)
+    while step:
+        then = F.col("_at") + step
+        p = p.withColumn("_at", F.when(F.get("_falling", then - 1) > F.col("_e"), then).otherwise(F.col("_at")))
+        step //= 2
+    return p.withColumn("row", _placed(F.col("_e"), F.col("_at"), F.col("table"), rows)).drop("_e", "_at")
+
+
 def seen_earlier(points: DataFrame, frames: DataFrame, lags: tuple[int, ...] = (1, 2), rows: int = 64, width: int = 1024, sensor: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
-    """earlier() with lag, row, col and range in the later frame's image: the row whose mean elevation there lies nearest."""
-    p = earlier(points, frames, lags).join(row_tables(points, rows, sensor), [*drive(points), "frame"])
-    return project(p, row_of(elevation(sensor), F.col("table"), rows), width, rows, sensor).drop("table")
+    """earlier() with lag, row, col and range in the later frame's image: the row whose mean elevation there lies nearest.
+
+    The tables (a row a frame) are persisted, so that Spark knows their size and joins them without a shuffle of the points where it is small."""
+    tables = row_tables(points, rows, sensor).withColumn("_falling", F.sort_array("table", False)).persist()
+    tables.count()
+    p = with_row(earlier(points, frames, lags).join(tables, [*drive(points), "frame"]), elevation(sensor), rows)
+    return project(p, "row", width, rows, sensor).drop("table", "_falling")
 
 
 def features(points: DataFrame, frames: DataFrame, lags: tuple[int, ...] = (1, 2), rows: int = 64, width: int = 1024, sensor: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
@@ -119,20 +139,22 @@ def row_of(elev: Column, table: list[float] | Column, rows: int | None = None) -
     often the optimizer repeats the expression's parts."""
     rows = rows or len(table)
     tab = table if isinstance(table, Column) else F.array(*[F.lit(float(v)) for v in table])
-    first, last = F.get(tab, F.lit(0)), F.get(tab, F.lit(rows - 1))
-    half = F.abs(first - last) / max(rows - 1, 1) / 2
-
-    def placed(e: Column, at: Column) -> Column:  # at: the first row that does not lie above
-        hi, lo = F.get(tab, at - 1), F.get(tab, at)
-        inner = F.rint(at - 1 + (hi - e) / F.nullif(hi - lo, F.lit(0.0))).cast("int")
-        return F.when((e > first + half) | (e < last - half), -1).when(e >= first, 0).when(e <= last, rows - 1).otherwise(inner)
 
     def one(e: Column) -> Column:
-        return F.get(F.transform(F.array(F.size(F.filter(tab, lambda v: v > e))), lambda at: placed(e, at)), F.lit(0))
+        return F.get(F.transform(F.array(F.size(F.filter(tab, lambda v: v > e))), lambda at: _placed(e, at, tab, rows)), F.lit(0))
 
     return F.get(F.transform(F.array(elev), one), F.lit(0))
 
 
+def _placed(e: Column, at: Column, tab: Column, rows: int) -> Column:
+    """row_of() an elevation, if `at` rows of the table lie above it."""
+    first, last = F.get(tab, F.lit(0)), F.get(tab, F.lit(rows - 1))
+    half = F.abs(first - last) / max(rows - 1, 1) / 2
+    hi, lo = F.get(tab, at - 1), F.get(tab, at)
+    inner = F.rint(at - 1 + (hi - e) / F.nullif(hi - lo, F.lit(0.0))).cast("int")
+    return F.when((e > first + half) | (e < last - half), -1).when(e >= first, 0).when(e <= last, rows - 1).otherwise(inner)
+
+
 def scale_intensity(points: DataFrame, col: str = "inten", most: float = 1.5) -> DataFrame:
     """Intensities of a frame whose greatest exceeds `most` are bytes: they are divided by 255."""
     on = [*drive(points), "frame"]
