@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from latticore.llm import decontam, jaccard, mixing, quality, shard, simhash
 from latticore.llm.common import drop, join_heavy, new_path, release, save, table
-from latticore.llm.graph import components
+from latticore.llm.graph import linked
 
 ACCEPT = 0.7
 
@@ -57,7 +57,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     release(spark)
     least = exact.groupBy("node").agg(F.min("id").alias("exact"), F.count("*").alias("n"))
     both = join_heavy(exact, least, "node", "n", exact.count()).join(near, "id").select(F.col("near").alias("u"), F.col("exact").alias("v"))
-    comp = components(both)
+    comp = linked(both)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(row).alias("r"))).alias("first")
     per = rows.select(row, "doc_id").join(near.withColumnRenamed("id", row), row).groupBy("near").agg(first)
     per = per.join(comp.withColumnRenamed("node", "near"), "near", "left").groupBy(F.coalesce("component", "near").alias("c"))

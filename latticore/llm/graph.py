@@ -7,11 +7,16 @@ the driver but a few sums per round that tell whether the edges still change.  A
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, join_heavy, release, save
 
+#: Distinct edges that one task takes (16 MB of ids): more go through rounds.
+FEW = 1 << 20
+
 
 def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     """large: every larger neighbour of u goes to u's least; small: every smaller one and u itself do."""
@@ -28,12 +33,53 @@ def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     return moved.filter("u <> v").distinct()
 
 
+def _distinct(edges: DataFrame) -> DataFrame:
+    return save(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+
+
+def least(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node reachable) of every end of the edges: roots go to the least root next to them until no edge parts two."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)  # places rise with the nodes
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != (up := root[root])).any():
+            root = up
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    return nodes, nodes[root]
+
+
+def linked(edges: DataFrame) -> DataFrame:
+    """components() of the edges, written once; FEW or fewer distinct ones are gone through by one task.
+
+    A round over few edges is mostly its tasks, thousands where the session deals to many partitions."""
+    now = _distinct(edges)
+    release(now.sparkSession)
+    if now.count() > FEW:
+        return save(_rounds(now), "linked")
+
+    def run(batches):
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if parts:
+            node, component = least(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(component)], ["node", "component"])
+
+    out = save(now.coalesce(1).mapInArrow(run, "node long, component long"), "linked")
+    drop(now)
+    return out
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges(u, v) of longs, undirected, any order, repeats and loops allowed -> (node, component).
 
     component is the least node reachable.  Nodes are those with an edge to another node; a null
     end drops the edge.  The result is a written table."""
-    now = save(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    return _rounds(_distinct(edges), most_rounds)
+
+
+def _rounds(now: DataFrame, most_rounds: int = 60) -> DataFrame:
     mark = None
     for _ in range(most_rounds):
         release(now.sparkSession)  # shuffles of the round before, or of what made the edges

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import across, drop, join_heavy, marked, marks, release, save, slices
-from .graph import components
+from .graph import linked
 from .hashing import mix64
 
 #: Buckets in which shingles are counted to tell the crowded ones.
@@ -257,7 +257,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = _verified(star.groupBy("u").agg(F.max(F.struct("count", "v"))["v"].alias("v")), sets, f"stars{k}")
         hubs = top.select("token", F.col("h.node").alias("hub")) if hubs is None else hubs.union(top.select("token", F.col("h.node").alias("hub")))
         links = found if links is None else links.union(found)
-        labels = save(components(links).withColumnRenamed("component", "label"), "labels")
+        labels = linked(links).withColumnRenamed("component", "label")
         named = now.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         then = _apart(named)
         drop(now)
@@ -268,10 +268,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     release(spark)
     # the partner that a set meets most comes first; then only what these links leave apart
     links = links.union(_verified(more.groupBy("u").agg(F.max(F.struct("count", "v"))["v"].alias("v")), sets, "best"))
-    found = save(components(links), "found")
+    found = linked(links)
     of = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
     apart = more.join(of("u"), "u", "left").join(of("v"), "v", "left").filter(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
-    comp = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(_verified(apart, sets, "links")))
+    comp = linked(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(_verified(apart, sets, "links")))
     sizes = rows.groupBy("node").agg(F.count("*").alias("c")).join(comp, "node", "left").select("node", "c", F.coalesce("component", "node").alias("component_id"))
     total = rows.count()
     drop(sets, held, met, now, more)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import across, join_heavy, marked, marks, release, save, slices
-from .graph import components
+from .graph import linked
 from .hashing import mix64
 
 SEGMENTS = (22, 21, 21)
@@ -198,10 +198,10 @@ def link(fps: DataFrame, most: int = 4) -> DataFrame:
     near = _keys(fps.select("fp", F.col("fp").alias("label")), False).select("key", "fp")
     hub = near.groupBy("key").agg(F.min("fp").alias("hub"), F.max("fp").alias("last")).filter("hub < last").select("key", "hub")
     stars = near.join(hub, "key").filter((F.col("fp") != F.col("hub")) & _close("fp", "hub", most))
-    first = components(stars.select(F.col("fp").alias("u"), F.col("hub").alias("v")))
+    first = linked(stars.select(F.col("fp").alias("u"), F.col("hub").alias("v")))
     labelled = save(fps.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("label")), "labelled")
     pairs = candidates(labelled).filter(_close("x.fp", "y.fp", most)).select(F.col("x.label").alias("u"), F.col("y.label").alias("v"))
-    second = components(pairs)
+    second = linked(pairs)
     sizes = labelled.groupBy("label").agg(F.count("*").alias("n"))
     names = sizes.join(second.withColumnRenamed("node", "label"), "label", "left").select("label", "n", F.coalesce("component", "label").alias("component"))
     return join_heavy(labelled, names, "label", "n", labelled.count()).select(F.col("fp").alias("node"), "component")
