@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import band
@@ -63,14 +63,43 @@ def stage_means(times: DataFrame, stage: str, order: list[str], value: str, skip
     return times.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") > skip).groupBy(F.col(stage).alias("stage")).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
 
 
-def rolling(times: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], value: str, width: int = 200, skip: int = 0) -> DataFrame:
-    """times with p50, p95, p99, mean and fps of the last `width` rows of the key up to each, its first `skip` rows left out."""
-    by = Window.partitionBy(*keys).orderBy(*order)
-    kept = times if not skip else times.withColumn("_r", F.row_number().over(by)).filter(F.col("_r") > skip).drop("_r")
+#: Rows whose values are added up by themselves before they join a window's sum.
+RUN = 16
+
+
+def _added(value: Column, by: Window, width: int) -> Column:
+    """Sum of the last `width` values of the key up to each row: the rows before the window's first whole run of RUN, its whole runs, the rows after them, added in this order.
+
+    `_i` is the row's place in its key, `_p` the same counted from the begin of the key's first run, `_b` the run; `_run` and `_rest` are the sums of the row's run and of it from the row on."""
+    o, cut = F.col("_p") % RUN, F.col("_p") != F.col("_i")  # cut: the key's first run is a part of one
+    told = lambda c: F.coalesce(c, F.lit(0.0))
+    first = F.first("_run").over(by.rowsBetween(Window.unboundedPreceding, 0))
+    inside = (o < width - 1) & (F.pmod(o - (width - 1), F.lit(RUN)) != 0)
+    out = told(F.when((F.col("_i") < width - 1) & (F.col("_b") > 0) & cut, first).when((F.col("_i") >= width - 1) & inside, F.lag("_rest", width - 1).over(by)))
+    for back in range((width - 1) // RUN, 0, -1):
+        here = (o + RUN * back <= width - 1) & (F.col("_b") - back >= F.when(cut, 1).otherwise(0))
+        out = out + told(F.when(here, F.lag("_run", RUN * back).over(by)))
+    whole = (o == RUN - 1) & F.lit(width >= RUN)
+    for back in range(min(RUN, width) - 1, -1, -1):
+        out = out + told(F.when(~whole & (o >= back), F.lag(value, back).over(by) if back else value))
+    return out + told(F.when(whole, F.col("_run")))
+
+
+def rolling(times: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], value: str, width: int = 200, skip: int = 0, at: str | None = None) -> DataFrame:
+    """times with p50, p95, p99, mean and fps of the last `width` rows of the key up to each, its first `skip` rows left out.
+
+    The mean's sum takes whole runs of RUN rows at once; with `at`, the key's first row stands at that place of its first run (a column, 0 to RUN - 1)."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - (skip + 1)
+    kept = times.withColumn("_i", place).filter(F.col("_i") >= 0).withColumn("_p", F.col("_i") + (F.col(at) if at else 0)).withColumn("_b", F.floor(F.col("_p") / RUN))
+    v, run, by = F.col(value).cast("double"), Window.partitionBy(*keys, "_b").orderBy(*order), Window.partitionBy(*keys).orderBy("_b", *order)
+    ahead = Window.unboundedFollowing
+    kept = kept.withColumns({"_run": F.sum(v).over(run.rowsBetween(Window.unboundedPreceding, ahead)), "_rest": F.sum(v).over(run.rowsBetween(0, ahead)), "_n": F.count(v).over(by.rowsBetween(Window.unboundedPreceding, 0))})
     w = by.rowsBetween(1 - width, 0)
-    q = lambda p: F.percentile(value, F.lit(p)).over(w)
-    mean = F.avg(value).over(w)
-    return kept.withColumns({"p50": q(0.5), "p95": q(0.95), "p99": q(0.99), "mean": mean, "fps": 1000 / F.nullif(mean, F.lit(0.0))})
+    q = F.percentile(value, F.array(*[F.lit(p) for p in (0.5, 0.95, 0.99)])).over(w)  # one count of a frame's values for all three
+    n = F.col("_n") - F.coalesce(F.lag("_n", width).over(by), F.lit(0))
+    out = kept.withColumns({"_q": q, "mean": _added(v, by, width) / F.nullif(n, F.lit(0))})
+    out = out.withColumns({c: F.get("_q", F.lit(k)) for k, c in enumerate(("p50", "p95", "p99"))} | {"fps": 1000 / F.nullif(F.col("mean"), F.lit(0.0))})
+    return out.select(*times.columns, "p50", "p95", "p99", "mean", "fps")
 
 
 def recent(times: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], n: int = 100) -> DataFrame:
